@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrane.session import durable
 from terrane.streams import over_groups
 
 TYPES = ("string", "integer", "decimal", "boolean", "list", "object")
@@ -155,25 +156,27 @@ def renamings(rows: DataFrame, lost_and_new: DataFrame) -> DataFrame:
 
 
 def field_changes(files: DataFrame, rows: DataFrame) -> DataFrame:
-    """(file_id, change_kind, field_name, old_name) of each file against the one published before it in its dataset."""
-    files, rows = ordered_files(files), distinct_rows(rows)
-    fields = main_types(fused_schemas(rows, nested=False))
-    later = files.filter("former is not null")
-    now = later.select("file_id", "former").join(fields, "file_id").select("file_id", "former", "field", F.col("type").alias("new_type"))
-    then = later.select("file_id", "former").join(fields.withColumnRenamed("file_id", "former"), "former").select("file_id", "former", "field", F.col("type").alias("old_type"))
-    sides = now.join(then, ["file_id", "former", "field"], "full_outer")
-    one_sided = sides.filter("new_type is null or old_type is null").withColumn("lost", F.col("new_type").isNull())
-    renamed = renamings(rows, one_sided.select("file_id", "former", "field", "lost"))
-    left = one_sided.select("file_id", F.col("field"), "lost", F.coalesce("new_type", "old_type").alias("type"))
-    old = renamed.select("file_id", F.col("old_name").alias("field"), F.lit(True).alias("lost"), "field_name", "old_name")
-    new = renamed.select("file_id", F.col("field_name").alias("field"), F.lit(False).alias("lost"), "field_name", "old_name")
-    told = left.join(old.unionByName(new), ["file_id", "field", "lost"], "left")
-    plain = told.filter("field_name is null").select("file_id", F.when(F.col("lost"), "removed").otherwise("added").alias("change_kind"), F.col("field").alias("field_name"), F.lit("").alias("old_name"))
-    moved = told.filter("field_name is not null").groupBy("file_id", "field_name", "old_name").agg((F.count_distinct("type") > 1).alias("retyped"))
-    renames = moved.select("file_id", F.lit("renamed").alias("change_kind"), "field_name", "old_name")
-    retyped = sides.filter("new_type != old_type").select("file_id", F.col("field").alias("field_name")).unionByName(moved.filter("retyped").select("file_id", "field_name"))
-    retyped = retyped.select("file_id", F.lit("retyped").alias("change_kind"), "field_name", F.lit("").alias("old_name"))
-    return plain.unionByName(renames).unionByName(retyped)
+    """(file_id, change_kind, field_name, old_name) of each file against the one published before it in its dataset.
+
+    The fused schemas and the one-sided fields, a few rows per file, are checkpointed, so that the plans that use them stay small.
+    """
+    later, rows = durable(ordered_files(files).filter("former is not null").select("file_id", "former")), distinct_rows(rows)
+    fields = durable(main_types(fused_schemas(rows, nested=False)))
+    now = later.join(fields, "file_id").select("file_id", "former", "field", F.col("type").alias("new_type"))
+    then = later.join(fields.withColumnRenamed("file_id", "former"), "former").select("file_id", "former", "field", F.col("type").alias("old_type"))
+    sides = durable(now.join(then, ["file_id", "former", "field"], "full_outer").filter("new_type is null or old_type is null or new_type != old_type"))
+    one_sided = sides.filter("new_type is null or old_type is null").select("file_id", "former", "field", F.col("new_type").isNull().alias("lost"), F.coalesce("new_type", "old_type").alias("type"))
+    renamed = durable(renamings(rows, one_sided.select("file_id", "former", "field", "lost")))
+    both = renamed.select("file_id", "field_name", "old_name", F.explode(F.array(F.struct(F.col("old_name").alias("field"), F.lit(True).alias("lost")), F.struct(F.col("field_name").alias("field"), F.lit(False).alias("lost")))).alias("s"))
+    told = one_sided.join(both.select("file_id", "s.*", "field_name", "old_name"), ["file_id", "field", "lost"], "left")
+    # a renaming has two rows here, the old and the new side; all else has one
+    joined = told.groupBy("file_id", F.coalesce("field_name", "field").alias("field_name"), F.coalesce("old_name", F.lit("")).alias("old_name")).agg(
+        F.when(F.first("old_name").isNotNull(), "renamed").when(F.bool_and("lost"), "removed").otherwise("added").alias("change_kind"), (F.count_distinct("type") > 1).alias("retyped")
+    )
+    kinds = joined.select("file_id", F.explode(F.array_compact(F.array("change_kind", F.when(F.col("retyped"), "retyped")))).alias("change_kind"), "field_name", "old_name")
+    kinds = kinds.select("file_id", "change_kind", "field_name", F.when(F.col("change_kind") == "renamed", F.col("old_name")).otherwise("").alias("old_name"))
+    retyped = sides.filter("new_type != old_type").select("file_id", F.lit("retyped").alias("change_kind"), F.col("field").alias("field_name"), F.lit("").alias("old_name"))
+    return kinds.unionByName(retyped)
 
 
 def metadata_changes(files: DataFrame) -> DataFrame:
@@ -226,7 +229,7 @@ def consistent_table(files: DataFrame, rows: DataFrame, changes: DataFrame | Non
     in its dataset convert to (integer and decimal to decimal, other mixtures to string), ``canonical`` the converted value as text.
     """
     distinct = distinct_rows(rows)
-    changes = field_changes(files, rows) if changes is None else changes
+    changes = durable(field_changes(files, rows)) if changes is None else changes
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -244,6 +247,7 @@ def consistent_table(files: DataFrame, rows: DataFrame, changes: DataFrame | Non
     # the names and types of all files are joined to the values, per (file, field); the values themselves are not shuffled by a skewed key
     names = lineage(files, changes)
     placed = fused_schemas(distinct, nested=False).join(ordered_files(files).select("file_id", "dataset"), "file_id").withColumnRenamed("path", "field").join(names, ["file_id", "field"], "left").withColumn("field_name", F.coalesce("origin", "field"))
+    placed = durable(placed.select("dataset", "file_id", "field", "field_name", "type"))
     kinds = placed.groupBy("dataset", "field_name").agg(F.collect_set("type").alias("kinds"))
     numbers = F.array(F.lit("integer"), F.lit("decimal"))
     canonical = F.when(F.size("kinds") == 1, F.get("kinds", F.lit(0))).when(F.size(F.array_except("kinds", numbers)) == 0, "decimal").otherwise("string")
