@@ -504,6 +504,11 @@ def nest(rings: list[Line]) -> list[Polygon]:
     return [oriented(p) for p in polygons.values()]
 
 
+def nest_all(shapes: list[list[Line]]) -> list[Polygon]:
+    """The polygons of several shapes, each given as loose rings."""
+    return [p for rings in shapes for p in nest([r for r in rings if len(r) >= 4])]
+
+
 def union(polygons: list[Polygon], grid: float = 1e-6) -> list[Polygon]:
     return overlay([polygons], lambda w: w[:, 0] != 0, grid)
 

@@ -16,7 +16,7 @@ KINDS = {"point": 1, "line": 2, "polygon": 3}
 
 
 def zigzag(v: int) -> int:
-    return (v << 1) ^ (v >> 31) if v < 0 else v << 1
+    return -2 * v - 1 if v < 0 else 2 * v
 
 
 def unzigzag(v: int) -> int:
@@ -80,7 +80,7 @@ def _value(v) -> bytes:
     if isinstance(v, bool):
         return b"\x38" + varint(int(v))
     if isinstance(v, int):
-        return b"\x30" + varint((v << 1) ^ (v >> 63) if v < 0 else v << 1)
+        return b"\x30" + varint(zigzag(v))
     if isinstance(v, float):
         return b"\x19" + struct.pack("<d", v)
     raw = str(v).encode()
