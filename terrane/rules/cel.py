@@ -187,6 +187,8 @@ def compile_node(node: Node, names: Bindings) -> Column:
         case "unary":
             return ~c(node.children[0]) if node.value == "!" else -c(node.children[0])
         case "op":
+            if node.value == "+" and is_text(node):
+                return F.concat(*[c(n).cast("string") for n in node.children])
             return _operator(node.value, *map(c, node.children))
         case "call":
             return _call(node.value, node.children, names)
@@ -198,19 +200,33 @@ def compile_node(node: Node, names: Bindings) -> Column:
 def _operator(op: str, a: Column, b: Column) -> Column:
     made = {
         "||": lambda: a | b, "&&": lambda: a & b, "==": lambda: a.eqNullSafe(b), "!=": lambda: ~a.eqNullSafe(b), "<": lambda: a < b, "<=": lambda: a <= b, ">": lambda: a > b, ">=": lambda: a >= b,
-        "in": lambda: F.coalesce(F.array_contains(b, a), F.lit(False)), "-": lambda: a - b, "*": lambda: a * b, "/": lambda: a / b, "%": lambda: a % b, "+": lambda: _plus(a, b),
+        "in": lambda: F.coalesce(F.array_contains(b, a), F.lit(False)), "-": lambda: a - b, "*": lambda: a * b, "/": lambda: a / b, "%": lambda: a % b, "+": lambda: a + b,
     }
     return made[op]()
 
 
-def _plus(a: Column, b: Column) -> Column:
-    """Texts are joined, numbers added; one text literal decides for joining."""
-    return F.concat(a, b) if any(_looks_text(x) for x in (a, b)) else a + b
+_TEXT_METHODS = {"lowerAscii", "upperAscii", "trim", "charAt", "join", "replace", "replaceRegex", "substring", "get", "getOrDefault", "getOrKeep"}
+_TEXT_NAMES = {"match_key", "match_value", "feature.source", "feature.source_layer", "feature.osm_type"}
 
 
-def _looks_text(column: Column) -> bool:
-    shown = str(column)[len("Column<'") : -len("'>")]
-    return not re.fullmatch(r"-?\d+(\.\d+)?(E-?\d+)?|.*\b(?:try_cast|CAST)\(.* AS (?:BIGINT|INT|DOUBLE)\)|\(.*[-*/%].*\)|size\(.*\)|length\(.*\)|.*(?:area|length|zoom|num_points|_m2?).*", shown, re.S)
+def is_text(node: Node) -> bool:
+    """Whether an expression gives text: ``+`` joins if either side does."""
+    match node.kind:
+        case "literal":
+            return isinstance(node.value, str)
+        case "name" | "field":
+            return _path(node) in _TEXT_NAMES or (node.kind == "field" and (_path(node.children[0]) or "").endswith("tags"))
+        case "index":
+            return node.children[1].kind == "literal" and isinstance(node.children[1].value, str)
+        case "if":
+            return is_text(node.children[1]) or is_text(node.children[2])
+        case "op":
+            return node.value == "+" and any(map(is_text, node.children))
+        case "call":
+            return node.value == "string" or (node.value in ("coalesce", "nullif") and any(map(is_text, node.children)))
+        case "method":
+            return node.value in _TEXT_METHODS
+    return False
 
 
 def _call(name: str, args: tuple[Node, ...], names: Bindings) -> Column:

@@ -14,18 +14,22 @@ import pandas as pd
 def sorted_groups(frames: Iterable[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
     """Yield one frame per run of equal keys in a stream of frames that is sorted by ``keys``."""
     held: list[pd.DataFrame] = []
+    last: tuple = ()
     for frame in frames:
         if frame.empty:
             continue
-        values = frame[keys].to_numpy()
-        change = np.flatnonzero((values[1:] != values[:-1]).any(axis=1)) + 1
-        bounds = [0, *change.tolist(), len(frame)]
+        columns = [frame[k].to_numpy() for k in keys]
+        change = np.zeros(len(frame) - 1, dtype=bool)
+        for c in columns:
+            change |= c[1:] != c[:-1]
+        bounds = [0, *(np.flatnonzero(change) + 1).tolist(), len(frame)]
         for start, end in zip(bounds, bounds[1:]):
-            piece = frame.iloc[start:end]
-            if held and not (held[-1][keys].iloc[-1].to_numpy() == piece[keys].iloc[0].to_numpy()).all():
+            key = tuple(c[start] for c in columns)
+            if held and key != last:
                 yield held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
                 held = []
-            held.append(piece)
+            held.append(frame.iloc[start:end])
+            last = key
     if held:
         yield held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
 
