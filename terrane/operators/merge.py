@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrane.streams import over_groups
+from terrane.streams import kernel_partitions, over_groups
 
 
 def by_attributes(features: DataFrame, keys: list[str], attrs: str, id_: str, order: Column) -> DataFrame:
@@ -50,4 +50,4 @@ def merge_in_tiles(features: DataFrame, keys: list[str], kernel: Callable[[list]
         if merged:
             yield pd.DataFrame([{**head, "id": id_, "line": [list(p) for p in line]} for line in merged])
 
-    return over_groups(features.select(*keys, "attrs", "id", "line"), [*keys, "attrs"], run, out, partitions)
+    return over_groups(features.select(*keys, "attrs", "id", "line"), [*keys, "attrs"], run, out, partitions or kernel_partitions(features))

@@ -20,7 +20,7 @@ from terrane.kernels import geometry as g
 from terrane.kernels import mvt
 from terrane.kernels.lines import merge_lines
 from terrane.operators.tiling import limit_per_cell
-from terrane.streams import over_groups
+from terrane.streams import kernel_partitions, over_groups, sorted_groups
 
 FEATURE = "layer string, id bigint, kind string, shape array<array<array<double>>>, minzoom int, maxzoom int, sort_key int, attrs map<string,string>"
 RENDERED = "layer string, id bigint, kind string, z int, x int, y int, parts array<array<array<double>>>, sort_key int, cell bigint, attrs map<string,string>, filled boolean"
@@ -163,7 +163,7 @@ def merged(rendered: DataFrame, layers: dict[str, dict]) -> DataFrame:
         if rows:
             yield _frame(rows)
 
-    done = over_groups(keyed, ["z", "x", "y", "layer", "attr_key"], run, RENDERED)
+    done = over_groups(keyed, ["z", "x", "y", "layer", "attr_key"], run, RENDERED, kernel_partitions(keyed))
     return rendered.filter(~touched).unionByName(done)
 
 
@@ -187,11 +187,9 @@ def encode_tiles(rendered: DataFrame, compression: str = "gzip", skip_filled: bo
             yield pd.DataFrame({"z": [group["z"].iloc[0]], "x": [group["x"].iloc[0]], "y": [group["y"].iloc[0]], "layer": [name], "data": [data], "n": [len(features)], "filled": [bool(group["filled"].all())]})
 
     ordered = rendered.select("z", "x", "y", "layer", "sort_key", "id", "kind", "parts", "attrs", "filled")
-    spread = ordered.repartition("z", "x", "y", "layer").sortWithinPartitions("z", "x", "y", "layer", "sort_key", "id")
+    spread = ordered.repartition(kernel_partitions(ordered), "z", "x", "y", "layer").sortWithinPartitions("z", "x", "y", "layer", "sort_key", "id")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from terrane.streams import sorted_groups
-
         for group in sorted_groups(frames, ["z", "x", "y", "layer"]):
             yield from layer(group)
 

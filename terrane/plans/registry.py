@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from terrane.session import ship_package
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -15,6 +17,7 @@ def query(name: str, sql: str | None = None):
 
     def add(function):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
             return function(Tables(spark, sf_dir))
 
         run.__doc__, run.__name__ = function.__doc__, name

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,3 +46,17 @@ def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage by a reliable checkpoint: later reads survive the loss of any executor."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the session's workers, once per application, so that they need no installation."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    folder = tempfile.mkdtemp(prefix="terrane-package-")
+    sc.addPyFile(shutil.make_archive(os.path.join(folder, "terrane"), "zip", root, os.path.basename(os.path.dirname(os.path.abspath(__file__)))))
+    _shipped.add(sc.applicationId)

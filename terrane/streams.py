@@ -35,7 +35,10 @@ def sorted_groups(frames: Iterable[pd.DataFrame], keys: list[str]) -> Iterator[p
 
 
 def over_groups(df, keys: list[str], function: Callable[[pd.DataFrame], Iterator[pd.DataFrame]], schema: str, partitions: int | None = None):
-    """Shuffle by ``keys``, sort, and apply a generator to each group."""
+    """Shuffle by ``keys``, sort, and apply a generator to each group.
+
+    Without ``partitions`` adaptive execution may join small partitions; kernels that are heavy for their bytes should fix the number.
+    """
     spread = df.repartition(partitions, *keys) if partitions else df.repartition(*keys)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -43,3 +46,8 @@ def over_groups(df, keys: list[str], function: Callable[[pd.DataFrame], Iterator
             yield from function(group)
 
     return spread.sortWithinPartitions(*keys).mapInPandas(run, schema)
+
+
+def kernel_partitions(df) -> int:
+    """How many tasks a CPU-bound kernel should have: the session's shuffle partitions."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
