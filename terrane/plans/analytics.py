@@ -14,7 +14,7 @@ from terrane.plans.tiles import ON_TILES, events_on_tiles
 # one row per attribute value, however often it was delivered
 ATTRS = "av AS (SELECT attr_id, any_value(tile_id) AS tile_id, any_value(layer) AS layer, any_value(feature_id) AS feature_id, any_value(field_name) AS field_name, any_value(string_value) AS s, any_value(double_value) AS d FROM layer_attrs WHERE attr_id IS NOT NULL GROUP BY attr_id)"
 TILE_Z = "CAST(floor(log2(CAST(3 * tile_id + 1 AS DOUBLE)) / 2) AS INTEGER)"
-STATS = f"{ATTRS}, st AS (SELECT tile_id, {TILE_Z} AS z, layer, count(DISTINCT feature_id) AS layer_features, count(*) AS layer_values, count(DISTINCT field_name) AS layer_attr_keys, count(DISTINCT coalesce(s, CAST(d AS VARCHAR))) AS layer_attr_values, CAST(sum(length(coalesce(s, '')) + 8) AS BIGINT) AS layer_bytes FROM av WHERE tile_id IS NOT NULL AND layer IS NOT NULL GROUP BY tile_id, layer)"
+STATS = f"{ATTRS}, st AS (SELECT tile_id, {TILE_Z} AS z, layer, count(DISTINCT feature_id) AS layer_features, count(*) AS layer_values, count(DISTINCT field_name) AS layer_attr_keys, count(DISTINCT coalesce(s, '#' || TRY_CAST(round(d * 1000) AS BIGINT))) AS layer_attr_values, CAST(sum(length(coalesce(s, '')) + 8) AS BIGINT) AS layer_bytes FROM av WHERE tile_id IS NOT NULL AND layer IS NOT NULL GROUP BY tile_id, layer)"
 WEIGHTS = "wt AS (SELECT tile_id, tile_id % 50 AS loads FROM (SELECT DISTINCT tile_id FROM layer_attrs WHERE tile_id IS NOT NULL) q WHERE tile_id % 3 <> 0)"
 
 
@@ -23,7 +23,7 @@ def attrs(t: Tables):
 
 
 def layer_stats(t: Tables):
-    rows = attrs(t).filter("tile_id is not null and layer is not null").withColumn("value", F.coalesce("s", F.when(F.col("d").isNotNull(), F.concat(F.lit("#"), F.col("d").cast("string")))))
+    rows = attrs(t).filter("tile_id is not null and layer is not null").withColumn("value", F.coalesce("s", F.when(F.col("d").isNotNull(), F.concat(F.lit("#"), F.round(F.col("d") * 1000).try_cast("bigint").cast("string")))))
     counts = stats.tile_layer_stats(rows)
     sizes = rows.groupBy("tile_id", "layer").agg(F.sum(F.length(F.coalesce("s", F.lit(""))) + 8).alias("layer_bytes"))
     return counts.join(sizes, ["tile_id", "layer"]).withColumn("z", geo.tile_from_id(F.col("tile_id"))["z"])
