@@ -145,9 +145,9 @@ def own_text(text: str | None) -> str:
     part = text_part(fields, body)
     if part is None:
         return ""
-    plain = html_text(part[0]) if part[1] else part[0]
+    plain = reread(html_text(part[0]) if part[1] else part[0])
     kept: list[str] = []
-    every = plain.split("\n")
+    every, in_bars = plain.split("\n"), False
     for k, line in enumerate(every):
         line = line.rstrip()
         if _OUTLOOK.match(line) and k + 1 < len(every) and _OUTLOOK_NEXT.match(every[k + 1]):
@@ -155,7 +155,8 @@ def own_text(text: str | None) -> str:
         if line in ("--", "—") or _FORWARD.match(line):
             break
         before = next((x for x in reversed(kept[-3:]) if x), "")
-        barred = line.lstrip().startswith("|") and (before is _CUT or _attribution(before))  # a quoted table or rule
+        barred = line.lstrip().startswith("|") and (in_bars or before is not _CUT and _attribution(before))  # a quoted table or rule
+        in_bars = barred or (line.lstrip().startswith("|") and bool(_QUOTED.match(line)))
         if not barred and not _QUOTED.match(line):
             kept.append(line)
         elif kept and kept[-1] is not _CUT:
@@ -173,6 +174,21 @@ def own_text(text: str | None) -> str:
 _CUT = "\0quotation"
 
 
+_MISREAD = re.compile("[\u00c2-\u00f4][\u0080-\u00bf\u0152\u0153\u0160\u0161\u0178\u017d\u017e\u0192\u02c6\u02dc\u2013\u2014\u2018-\u201e\u2020-\u2022\u2026\u2030\u2039\u203a\u20ac\u2122]")
+
+
+def reread(text: str) -> str:
+    """UTF-8 that was read as a one-byte code, put right; text that was not stays as it is."""
+    if not _MISREAD.search(text):
+        return text
+    for name in ("latin-1", "cp1252", "iso-8859-15"):
+        try:
+            return text.encode(name).decode("utf-8")
+        except UnicodeError:
+            continue
+    return text
+
+
 def _attribution(line: str) -> bool:
     return line[-1:] in (":", "：") and len(line) < 200 and bool(_WROTE.search(line.strip()))
 

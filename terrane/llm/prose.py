@@ -56,8 +56,9 @@ _GAP = re.compile(r"\S(?:\s{2,}|\t)\S")
 _HEX = re.compile(r"^(?:[0-9a-f]{2}|[0-9a-f]{4}|[0-9a-f]{8})(?:[ :]+(?:[0-9a-f]{2}|[0-9a-f]{4}|[0-9a-f]{8}))+\.?$|^(?:[0-9a-f]{2}){8,}$", re.I)
 _PDF = re.compile(r"^%(?:PDF|!PS)")
 _BASE64 = re.compile(r"^\s*[A-Za-z0-9+/]{24,}={0,2}$")
-_CODE = re.compile(r"\{[^{}]*:[^{}]*\}|^\s*[.#@]?[\w-]+\s*\{|^\s*[\w-]+:[^; ]+;\s*\}?$")
+_CODE = re.compile(r"\{[^{}]*:[^{}]*\}|^\s*[.#@]?[\w-]+\s*\{|^\s*[\w-]+:(?!//)[^; ]+;\s*\}?$")
 _UU = re.compile(r"^(?:begin \d{3} \S+|end|`|[!-`]{8,62})$")
+_BEGIN = re.compile(r"^begin [0-7]{3} \S+$")
 _STRIP_URL = re.compile(r"\b(?:https?|ftp)://\S+|\b\S+@\S+\b|\b\w+\.(?:pbf|png|zip|csv|json|shp|tif|osm|txt|pdf|xml|gz|bin)\b", re.I)
 _GREETING = re.compile(r"^\s*[^.!?;|\t\d]{2,40},\s*$")
 # fixed values: how letters of the archive's languages open and close
@@ -124,6 +125,12 @@ def encoded(bare: str) -> bool:
     """The line is machine data, whatever words it may hold by chance."""
     if _HEX.match(bare) or _PDF.match(bare) or (_CODE.search(bare) and len(_WORD.findall(bare)) <= 12):
         return True
+    n = len(bare)
+    if n >= 24 and " " not in bare and "://" not in bare:
+        if _BASE64.match(bare) and (n >= 48 or (any(c.isdigit() for c in bare) and any(c.isupper() for c in bare) and any(c.islower() for c in bare))):
+            return True
+        if _UU.match(bare) and sum(c.isalnum() for c in bare) < 0.85 * n and not (bare.count(",") > 1 or bare.count(";") > 1 or bare.count("|") > 1):
+            return True
     return any(c == "\ufffd" or (c < " " and c != "\t") or "\x7f" <= c <= "\x9f" for c in bare)
 
 
@@ -139,8 +146,6 @@ def unreadable(line: str, words: list[str]) -> bool:
         return True
     if n >= 6 and len(set(bare)) <= 2:
         return True
-    if _BASE64.match(bare) and (n >= 48 or (any(c.isdigit() for c in bare) and any(c.isupper() for c in bare) and any(c.islower() for c in bare))):
-        return True
     if encoded(bare):
         return True
     if n >= 8 and not spaces and symbols >= 0.2 * n and not _STRIP_URL.search(bare) and _UU.match(bare):
@@ -191,9 +196,14 @@ def line_kinds(lines: list[str], common: frozenset) -> list[tuple[str, float]]:
     wide = not mark and len(lines) >= 3 and gaps >= 0.6 * len(lines)
     kinds = []
     whole: Counter = Counter()
+    inside_file = False  # between begin and end of a file written into the text
     for line in lines:
         words = _WORD.findall(line)
         bare = line.strip()
+        if inside_file or _BEGIN.match(bare):
+            inside_file = bare != "end"
+            kinds.append(("unreadable", min(len(bare), 80) + 20.0))
+            continue
         weight = min(len(bare), 80) + 20.0
         if _RULE.match(line) and (len(set(bare)) > 1 or bare[0] in "-=_"):
             kinds.append(("rule", weight))
@@ -204,7 +214,7 @@ def line_kinds(lines: list[str], common: frozenset) -> list[tuple[str, float]]:
         share = function / len(low) if low else 0.0
         if encoded(bare):
             kinds.append(("unreadable", weight))
-        elif mark and _cut(bare_of[line], mark).count(mark) >= count and share < 0.3:
+        elif mark and _cut(bare_of[line], mark).count(mark) >= count and share < (0.3 if mark == "," else 0.6):
             kinds.append(("cells", weight))
         elif wide and _GAP.search(bare) and share < 0.3 and not unreadable(re.sub(r"\s+", " ", line), words):
             kinds.append(("cells", weight))
@@ -238,7 +248,7 @@ def classify(text: str, common: frozenset) -> tuple[str, tuple[float, ...]]:
     lead = 0
     while lead < len(kinds) and kinds[lead][0] == "sentence":
         lead += 1
-    if 0 < lead <= 4 and len(kinds) - lead >= 3 and not any(k == "sentence" for k, _ in kinds[lead:]):
+    if 0 < lead <= 4 and len(kinds) - lead >= 3 and sum(k == "sentence" for k, _ in kinds[lead:]) <= 0.1 * (len(kinds) - lead):
         if len(_STOPS.findall(" ".join(x.strip() for x in lines[:lead]))) <= 1:
             kinds = kinds[lead:]
     totals = dict.fromkeys(("sentence", "item", "cells", "unreadable"), 0.0)
