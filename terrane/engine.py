@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from terrane.operators import render as r
 from terrane.rules.ast import TRUE, Rule, chosen_layers, relevant
 from terrane.rules.schema import SchemaPlan
-from terrane.streams import over_groups
+from terrane.streams import kernel_partitions, over_groups
 
 
 @dataclass
@@ -79,8 +79,8 @@ class Profile:
         """All output rows of one source's features."""
         parts = []
         if (schema := getattr(self, "schema", None)) is not None:
-            made = schema.features(df).join(df.select("id", "shape", F.col("geom_type").alias("_kind")), "id")
-            kind = F.when(F.col("geometry").isin("point", "line", "polygon"), F.col("geometry")).when(F.col("geometry") == "split_line", "line").otherwise(F.col("_kind"))
+            made = schema.features(df, ("shape", "geom_type"))
+            kind = F.when(F.col("geometry").isin("point", "line", "polygon"), F.col("geometry")).when(F.col("geometry") == "split_line", "line").otherwise(F.col("geom_type"))
             parts.append(made.select("layer", "id", kind.alias("kind"), "shape", F.col("min_zoom").alias("minzoom"), F.col("max_zoom").alias("maxzoom"), "sort_key", "attrs"))
         for handler in self.handlers:
             chosen = df.filter(handler.rule.simplified().test())
@@ -172,7 +172,7 @@ class Engine:
             points = nodes.filter("size(tags) > 0 and lat is not null and lon is not null").select(
                 feature_id(F.col("id"), F.lit("node")).alias("id"), F.lit("").alias("source_layer"), "tags", F.lit("point").alias("geom_type"), F.lit(False).alias("can_be_line"), F.lit(False).alias("can_be_polygon"), F.array(F.array(F.array("lon", "lat"))).alias("shape")
             )
-            lines = way_lines(ways, nodes).join(ways, "way_id")
+            lines = way_lines(ways, nodes, ["tags", "node_ids"], kernel_partitions(nodes))
             polygon = can_be_polygon(F.col("node_ids"), F.col("tags"))
             shaped = lines.select(
                 feature_id(F.col("way_id"), F.lit("way")).alias("id"), F.lit("").alias("source_layer"), "tags", F.when(polygon, "polygon").otherwise("line").alias("geom_type"),

@@ -23,12 +23,20 @@ def way_nodes(ways: DataFrame, nodes: DataFrame) -> DataFrame:
     return placed.withColumn("found", found).filter("found = n").select("way_id", "pos", "node_id", "lon", "lat")
 
 
-def way_lines(ways: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(way_id, line): the ordered coordinates as an array of (lon, lat)."""
-    refs = ways.select("way_id", F.size("node_ids").alias("n"), F.posexplode("node_ids").alias("pos", "node_id"))
+def way_lines(ways: DataFrame, nodes: DataFrame, keep: list[str] | None = None, partitions: int | None = None) -> DataFrame:
+    """(way_id, line): the ordered coordinates as an array of (lon, lat), with the columns ``keep`` of the ways.
+
+    The columns kept travel with the first reference of each way, not with every one. ``partitions`` fixes the number of tasks for
+    kernels that follow.
+    """
+    keep = keep or []
+    first = F.when(F.col("pos") == 0, F.struct(*keep)) if keep else F.lit(None)
+    refs = ways.select("way_id", F.size("node_ids").alias("n"), *keep, F.posexplode("node_ids").alias("pos", "node_id")).select("way_id", "n", "pos", "node_id", first.alias("kept"))
     placed = refs.join(nodes.filter("lon is not null and lat is not null").select(F.col("id").alias("node_id"), "lon", "lat"), "node_id")
-    lines = placed.groupBy("way_id", "n").agg(F.array_sort(F.collect_list(F.struct("pos", "lon", "lat"))).alias("p"))
-    return lines.filter("size(p) = n").select("way_id", F.transform("p", lambda c: F.struct(c["lon"].alias("lon"), c["lat"].alias("lat"))).alias("line"))
+    if partitions:
+        placed = placed.repartition(partitions, "way_id")
+    lines = placed.groupBy("way_id", "n").agg(F.array_sort(F.collect_list(F.struct("pos", "lon", "lat"))).alias("p"), F.first("kept", ignorenulls=True).alias("kept"))
+    return lines.filter("size(p) = n").select("way_id", F.transform("p", lambda c: F.struct(c["lon"].alias("lon"), c["lat"].alias("lat"))).alias("line"), *[F.col(f"kept.{c}").alias(c) for c in keep])
 
 
 def can_be_polygon(node_ids: Column, tags: Column) -> Column:

@@ -214,8 +214,8 @@ class SchemaPlan:
         """Sources that a rule names; others need not be read."""
         return {s for layer in self.raw["layers"] for f in layer["features"] for s in _listed(f.get("source"))}
 
-    def features(self, df: DataFrame) -> DataFrame:
-        """(layer, id, source, geometry, min_zoom, max_zoom, min_size, sort_key, buffer, attrs, attr_zooms) of every match.
+    def features(self, df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+        """(layer, id, source, geometry, min_zoom, max_zoom, min_size, sort_key, buffer, attrs, attr_zooms) of every match, and the columns ``keep``.
 
         All rules are tests over one scan of the features; a feature that matches several rules gives several rows.
         """
@@ -251,9 +251,9 @@ class SchemaPlan:
                     )
                 )
         exploded = df.withColumn("_hit", F.explode(F.array_compact(F.array(*hits))))
-        last = lambda kind: F.map_from_entries(F.transform(F.filter("_hit.pairs", lambda p: F.lit(True)), lambda p: F.struct(p["key"], p[kind])))
+        last = lambda kind: F.map_from_entries(F.transform("_hit.pairs", lambda p: F.struct(p["key"], p[kind])))
         columns = [F.col(f"_hit.{c}").alias(c) for c in ("layer", "geometry", "min_zoom", "max_zoom", "min_size", "sort_key", "buffer")]
-        return exploded.select("id", "source", *columns, last("value").alias("attrs"), last("zoom").alias("attr_zooms"))
+        return exploded.select("id", "source", *keep, *columns, last("value").alias("attrs"), last("zoom").alias("attr_zooms"))
 
 
 def _listed(raw) -> list[str]:
