@@ -6,8 +6,8 @@ shuffle by leaf follows. Inside a leaf an R-tree is bulk-loaded over the points
 and of the regions; candidates are refined by the exact distance or by the exact polygon test. A pair is reported only in the leaf
 that owns its reference point, the place of the smaller key, so no duplicate arises and no ``distinct`` is needed.
 
-Skew. Dense areas split into more leaves. A leaf that the sample finds too heavy even at the deepest level is cut into blocks by a
-hash of the key, and each pair of blocks becomes a group of its own: a group holds at most two blocks, and nothing is dropped.
+Skew and size. Dense areas split into more leaves. Where the bounded sample can no longer tell rows apart, a leaf is divided into a
+regular grid, so groups keep their size however large the input is. A cell that is too heavy even at the deepest level is cut into blocks by a hash of the key, and each pair of blocks becomes a group of its own: a group holds at most two blocks, and nothing is dropped.
 
 Defined results for dirty input: rows without a key or a readable place are in no pair; rows that repeat a key count as one
 point; regions without readable text contain nothing; points at one place are 0 m apart; an empty table gives an empty result.
@@ -54,15 +54,15 @@ def places(features: DataFrame, key: str = "feature_id") -> DataFrame:
     return read.filter(F.col("key").isNotNull()).select("key", lon.alias("lon"), lat.alias("lat")).filter(_within_limits(F.col("lon"), F.col("lat")))
 
 
-def build_quadtree(points: DataFrame, leaf_rows: int = LEAF_ROWS, sample_rows: int = SAMPLE_ROWS, max_depth: int = MAX_DEPTH, rows: int | None = None) -> tuple[QuadTree, float]:
-    """The tree and the number of rows that one sampled row stands for. ``rows`` is an upper estimate of the input's rows."""
+def build_quadtree(points: DataFrame, leaf_rows: int = LEAF_ROWS, sample_rows: int = SAMPLE_ROWS, max_depth: int = MAX_DEPTH, rows: int | None = None) -> QuadTree:
+    """The tree over a bounded sample. ``rows`` is an upper estimate of the input's rows."""
     rows = points.count() if rows is None else rows
     fraction = min(1.0, sample_rows / max(rows, 1))
     sample = points.select("lon", "lat")
     if fraction < 1:
         sample = sample.sample(fraction=fraction, seed=7)
     seen = sample.limit(2 * sample_rows).toPandas()
-    return QuadTree(seen["lon"].to_numpy(float), seen["lat"].to_numpy(float), max(1.0, leaf_rows * fraction), max_depth), 1 / fraction
+    return QuadTree(seen["lon"].to_numpy(float), seen["lat"].to_numpy(float), leaf_rows, max_depth, 1 / fraction)
 
 
 def near_and_within(
@@ -70,28 +70,27 @@ def near_and_within(
 ) -> DataFrame:
     """(found_kind, key_a, key_b): pairs of points (key, lon, lat) within ``metres``, and (region, point) pairs of regions (region, wkt)."""
     spark = points.sparkSession
-    tree, weight = build_quadtree(points, leaf_rows, sample_rows, max_depth, rows)
-    blocks = np.where(tree.counts * weight > 2 * leaf_rows, np.ceil(tree.counts * weight / leaf_rows), 1).astype(np.int64)
+    tree = build_quadtree(points, leaf_rows, sample_rows, max_depth, rows)
+    blocks = np.where(tree.cell_rows > 2 * leaf_rows, np.ceil(tree.cell_rows / leaf_rows), 1).astype(np.int64)
     shared = spark.sparkContext.broadcast((tree, blocks))  # bounded by the sample
 
     def route_points(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         quad, cut = shared.value
         for frame in frames:
             key, lon, lat = frame["key"].to_numpy(), frame["lon"].to_numpy(), frame["lat"].to_numpy()
-            home = quad.home(lon, lat)
+            home, home_cell = quad.home(lon, lat)
             row, *box = reach(lon, lat, metres)
-            at, leaf = quad.touched(*box)
-            row = row[at]
-            pair = np.unique(np.stack([row, leaf], axis=1), axis=0)
-            row, leaf = pair[:, 0], pair[:, 1]
+            at, leaf, cell = quad.touched(*box)
+            pair = np.unique(np.stack([row[at], leaf, cell], axis=1), axis=0)
+            row, leaf, cell = pair[:, 0], pair[:, 1], pair[:, 2]
             block = np.array(pd.util.hash_array(key[row].astype(np.int64)) % cut[leaf].astype(np.uint64), dtype=np.int64)
             n = cut[leaf]
             rep = np.repeat(np.arange(len(row)), n)
             other = np.arange(len(rep)) - np.repeat(np.cumsum(n) - n, n)
             yield pd.DataFrame(
                 {
-                    "leaf": leaf[rep].astype(np.int32), "low": np.minimum(block[rep], other).astype(np.int32), "high": np.maximum(block[rep], other).astype(np.int32),
-                    "key": key[row][rep], "lon": lon[row][rep], "lat": lat[row][rep], "block": block[rep].astype(np.int32), "own": (home[row] == leaf)[rep], "wkt": None,
+                    "leaf": leaf[rep].astype(np.int32), "cell": cell[rep], "low": np.minimum(block[rep], other).astype(np.int32), "high": np.maximum(block[rep], other).astype(np.int32),
+                    "key": key[row][rep], "lon": lon[row][rep], "lat": lat[row][rep], "block": block[rep].astype(np.int32), "own": ((home[row] == leaf) & (home_cell[row] == cell))[rep], "wkt": None,
                 }
             )
 
@@ -102,12 +101,12 @@ def near_and_within(
                 box = bounds(polygons(text))
                 if box is None or region is None:
                     continue
-                _, leaf = quad.touched(*(np.array([v]) for v in box))
-                rep = np.repeat(leaf, cut[leaf])
+                _, leaf, cell = quad.touched(*(np.array([v]) for v in box))
+                rep = np.repeat(np.arange(len(leaf)), cut[leaf])
                 part = np.concatenate([np.arange(cut[k]) for k in leaf]).astype(np.int32)
-                yield pd.DataFrame({"leaf": rep.astype(np.int32), "low": part, "high": part, "key": region, "lon": 0.0, "lat": 0.0, "block": -1, "own": False, "wkt": text})
+                yield pd.DataFrame({"leaf": leaf[rep].astype(np.int32), "cell": cell[rep], "low": part, "high": part, "key": region, "lon": 0.0, "lat": 0.0, "block": -1, "own": False, "wkt": text})
 
-    schema = "leaf int, low int, high int, key bigint, lon double, lat double, block int, own boolean, wkt string"
+    schema = "leaf int, cell bigint, low int, high int, key bigint, lon double, lat double, block int, own boolean, wkt string"
     routed = points.select("key", "lon", "lat").mapInPandas(route_points, schema).unionByName(regions.select("region", "wkt").mapInPandas(route_regions, schema))
 
     def probe(group: pd.DataFrame) -> Iterator[pd.DataFrame]:
@@ -144,4 +143,4 @@ def near_and_within(
                 if len(inside):
                     yield pd.DataFrame({"found_kind": "within", "key_a": region, "key_b": key[inside]})
 
-    return over_groups(routed, ["leaf", "low", "high"], probe, "found_kind string, key_a bigint, key_b bigint")
+    return over_groups(routed, ["leaf", "cell", "low", "high"], probe, "found_kind string, key_a bigint, key_b bigint")

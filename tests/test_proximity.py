@@ -29,11 +29,13 @@ def test_quadtree_owns_every_point_once_and_touches_cover_it():
     rng = np.random.default_rng(2)
     lon, lat = np.concatenate([rng.uniform(-180, 180, 500), np.full(500, 7.5)]), np.concatenate([rng.uniform(-90, 90, 500), np.full(500, 50.1)])
     tree = QuadTree(lon, lat, 20, 12)
-    home = tree.home(lon, lat)
-    assert home.min() >= 0 and tree.counts.sum() == 1000
-    row, leaf = tree.touched(lon - 1e-9, lat - 1e-9, lon + 1e-9, lat + 1e-9)
-    pairs = set(zip(row.tolist(), leaf.tolist()))
-    assert all((k, h) in pairs for k, h in enumerate(home.tolist()))
+    fine = QuadTree(lon[::50], lat[::50], 5, 12, weight=50.0)
+    assert tree.counts.sum() == 1000 and not tree.levels.any() and fine.levels.max() > 0 and fine.cell_rows[fine.levels < 3].max() <= 1000
+    for t in (tree, fine):
+        leaf, cell = t.home(lon, lat)
+        row, leaves, cells = t.touched(lon - 1e-9, lat - 1e-9, lon + 1e-9, lat + 1e-9)
+        met = set(zip(row.tolist(), leaves.tolist(), cells.tolist()))
+        assert leaf.min() >= 0 and all((k, a, b) in met for k, (a, b) in enumerate(zip(leaf.tolist(), cell.tolist())))
 
 
 @pytest.mark.parametrize("lon,lat", [(0.0, 0.0), (179.9999, 10.0), (-180.0, -60.0), (12.0, 89.9999), (5.0, -90.0), (0.0, 85.0)])
@@ -68,8 +70,8 @@ def test_places(spark):
     assert got == {1: (3, 4), 2: (3.5, -4), 3: (3, 4), 4: (2, 1), 5: (2, 1), 6: (2, 1), 10: (180, -90), 11: (2, 1), 12: (2, 1)}
 
 
-@pytest.mark.parametrize("leaf_rows,max_depth", [(10_000, 20), (15, 20), (4, 3)])
-def test_pairs_match_brute_force(spark, leaf_rows, max_depth):
+@pytest.mark.parametrize("leaf_rows,max_depth,sample_rows", [(10_000, 20, 60_000), (15, 20, 60_000), (4, 3, 60_000), (4, 14, 12), (2, 6, 12)])
+def test_pairs_match_brute_force(spark, leaf_rows, max_depth, sample_rows):
     rng = random.Random(4)
     points = [(k, 16.37 + rng.gauss(0, 4e-4), 48.2 + rng.gauss(0, 3e-4)) for k in range(150)]  # a third and more in one town
     points += [(200 + k, 180 - rng.random() * 2e-4 if k % 2 else -180 + rng.random() * 2e-4, 10.0) for k in range(20)]
@@ -83,7 +85,7 @@ def test_pairs_match_brute_force(spark, leaf_rows, max_depth):
     for zone, text in zones[:2]:
         want |= {("within", zone, k) for k, hit in zip(keys, in_polygons(x, y, polygons(text))) if hit}
     df, regions = spark.createDataFrame(points, "key bigint, lon double, lat double"), spark.createDataFrame(zones, "region bigint, wkt string")
-    got = [tuple(r) for r in proximity.near_and_within(df, regions, 25.0, leaf_rows=leaf_rows, max_depth=max_depth).collect()]
+    got = [tuple(r) for r in proximity.near_and_within(df, regions, 25.0, leaf_rows=leaf_rows, max_depth=max_depth, sample_rows=sample_rows).collect()]
     assert len(got) == len(set(got)) and set(got) == want
 
 
