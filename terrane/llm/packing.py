@@ -135,7 +135,7 @@ def pack(lengths: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, buck
     whole = lengths.filter("n_tokens > 0").select(key, (F.col("n_tokens") % capacity).cast("int").alias("rest"), F.floor(F.col("n_tokens") / capacity).cast("bigint").alias("full"), "n_tokens")
     seen = whole.groupBy("rest").agg(F.count("*").alias("n"), F.sum("full").alias("full")).toPandas()  # at most `capacity` rows
     n_rows = int(seen["n"].sum()) if len(seen) else 0
-    salts = max(1, min(4096, -(-n_rows // group_rows)))
+    salts = max(1, -(-n_rows // group_rows))
     hist = seen[seen["rest"] > 0].sort_values("rest")
     size, count = hist["rest"].to_numpy(np.int64), hist["n"].to_numpy(np.int64)
     schema = "container_id bigint, `{0}` {1}, part int, first_token bigint, n_tokens bigint".format(key, lengths.schema[key].dataType.simpleString())
