@@ -339,19 +339,31 @@ def slice_to_tiles(kind: str, shape, zoom: int, buffer: float = 4.0, extents: tu
         else:
             strip = [r for r in (clip_ring(r, column - b, column + 1 + b, 0) for r in lines) if len(r) >= 4]
             edges = np.concatenate([np.stack([r[:-1, 1], r[1:, 1]], axis=1)[(r[:-1, 0] != r[1:, 0]) | ((r[:-1, 0] > column - b) & (r[:-1, 0] < column + 1 + b))] for r in strip]) if strip else np.zeros((0, 2))
-        for row in range(max(first_row, y_low), min(last_row, y_high - 1) + 1):
-            if kind == "line":
-                shapes = [(p - (column, row)) * 256 for part_ in strip for p in clip_line(part_, -np.inf, row - b, np.inf, row + 1 + b)]
-                if shapes:
-                    out.append((wrapped, row, shapes, False))
-                continue
-            if not strip:
-                continue
-            crossing = (edges.max(axis=1) >= row - b) & (edges.min(axis=1) <= row + 1 + b)
-            if not crossing.any():
-                if contains(strip, column + 0.5, row + 0.5):
+        top, bottom = max(first_row, y_low), min(last_row, y_high - 1)
+        if kind == "line":
+            in_row: dict[int, list] = {}
+            for piece in strip:
+                low_row, high_row = int(np.floor(piece[:, 1].min() - b)), int(np.floor(piece[:, 1].max() + b))
+                for row in range(max(top, low_row), min(bottom, high_row) + 1):
+                    for p in clip_line(piece, -np.inf, row - b, np.inf, row + 1 + b):
+                        in_row.setdefault(row, []).append((p - (column, row)) * 256)
+            out += [(wrapped, row, shapes, False) for row, shapes in sorted(in_row.items())]
+            continue
+        if not strip or bottom < top:
+            continue
+        touched = np.zeros(bottom - top + 1, dtype=bool)
+        first, last = np.floor(edges.min(axis=1) - b).astype(int) - top, np.floor(edges.max(axis=1) + b).astype(int) - top
+        for a, z in zip(np.clip(first, 0, len(touched)), np.clip(last + 1, 0, len(touched))):
+            touched[a:z] = True
+        inside: bool | None = None  # rows that no edge meets are all in or all out until the next edge
+        for k, crossed in enumerate(touched):
+            row = top + k
+            if not crossed:
+                inside = contains(strip, column + 0.5, row + 0.5) if inside is None else inside
+                if inside:
                     out.append((wrapped, row, [[fill_ring(buffer)]], True))
                 continue
+            inside = None
             cut = [r for r in (clip_ring(r, row - b, row + 1 + b, 1) for r in strip) if len(r) >= 4 and abs(signed_area(r)) > 1e-12]
             if cut:
                 out.append((wrapped, row, [[(r - (column, row)) * 256 for r in cut]], False))
