@@ -17,7 +17,7 @@ hold a point on it.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -36,8 +36,9 @@ SAMPLE_ROWS = 60_000
 LEAF_ROWS = 20_000
 MAX_DEPTH = 20
 
-_NUMBER = r"([-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?)"
-POINT_TEXT = rf"^\s*(?:[sS][rR][iI][dD]\s*=\s*\d+\s*;)?\s*(?i:POINT)\s*(?i:ZM|Z|M)?\s*\(\s*{_NUMBER}\s+{_NUMBER}(?:\s+{_NUMBER}){{0,2}}\s*\)\s*$"
+_NUMBER = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
+#: Group 1 holds the first two numbers; up to two more may follow.
+POINT_TEXT = rf"^\s*(?:[sS][rR][iI][dD]\s*=\s*\d+\s*;)?\s*(?i:POINT)\s*(?i:ZM|Z|M)?\s*\(\s*({_NUMBER}\s+{_NUMBER})(?:\s+{_NUMBER}){{0,2}}\s*\)\s*$"
 
 
 def _within_limits(lon: Column, lat: Column) -> Column:
@@ -46,31 +47,32 @@ def _within_limits(lon: Column, lat: Column) -> Column:
 
 def places(features: DataFrame, key: str = "feature_id") -> DataFrame:
     """(key, lon, lat): the centroid where it can be read as a point within the limits, else (lon, lat) within them, else no row."""
-    text_lon = F.regexp_extract("centroid", POINT_TEXT, 1).try_cast("double")
-    text_lat = F.regexp_extract("centroid", POINT_TEXT, 2).try_cast("double")
-    read = features.select(F.col(key).alias("key"), F.col("lon").alias("own_lon"), F.col("lat").alias("own_lat"), text_lon.alias("text_lon"), text_lat.alias("text_lat"))
-    use_text = F.coalesce(_within_limits(F.col("text_lon"), F.col("text_lat")), F.lit(False))
-    lon, lat = F.when(use_text, F.col("text_lon")).otherwise(F.col("own_lon")), F.when(use_text, F.col("text_lat")).otherwise(F.col("own_lat"))
-    return read.filter(F.col("key").isNotNull()).select("key", lon.alias("lon"), lat.alias("lat")).filter(_within_limits(F.col("lon"), F.col("lat")))
-
-
-def build_quadtree(points: DataFrame, leaf_rows: int = LEAF_ROWS, sample_rows: int = SAMPLE_ROWS, max_depth: int = MAX_DEPTH, rows: int | None = None) -> QuadTree:
-    """The tree over a bounded sample. ``rows`` is an upper estimate of the input's rows."""
+    # one array of candidates per row, best first: the pattern is matched once, however often its numbers are used
+    numbers = F.array(F.split(F.regexp_extract(F.coalesce("centroid", F.lit("")), POINT_TEXT, 1), r"\s+"))
+    read = F.transform(numbers, lambda n: F.struct(F.get(n, F.lit(0)).try_cast("double").alias("lon"), F.get(n, F.lit(1)).try_cast("double").alias("lat")))
+    candidates = F.concat(read, F.array(F.struct(F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat"))))
+    good = F.filter(candidates, lambda p: _within_limits(p["lon"], p["lat"]))
+    return features.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.inline(F.slice(good, 1, 1)))
+
+
+def build_quadtree(
+    points: DataFrame, leaf_rows: int = LEAF_ROWS, sample_rows: int = SAMPLE_ROWS, max_depth: int = MAX_DEPTH, rows: int | None = None, sampler: Callable[[float], DataFrame] | None = None
+) -> QuadTree:
+    """The tree over a bounded sample. ``rows`` is an upper estimate of the input's rows; ``sampler`` may give a share of the points more cheaply."""
     rows = points.count() if rows is None else rows
     fraction = min(1.0, sample_rows / max(rows, 1))
-    sample = points.select("lon", "lat")
-    if fraction < 1:
-        sample = sample.sample(fraction=fraction, seed=7)
-    seen = sample.limit(2 * sample_rows).toPandas()
+    sample = points if fraction == 1 else sampler(fraction) if sampler else points.sample(fraction=fraction, seed=7)
+    seen = sample.select("lon", "lat").limit(2 * sample_rows).toPandas()
     return QuadTree(seen["lon"].to_numpy(float), seen["lat"].to_numpy(float), leaf_rows, max_depth, 1 / fraction)
 
 
 def near_and_within(
-    points: DataFrame, regions: DataFrame, metres: float, leaf_rows: int = LEAF_ROWS, sample_rows: int = SAMPLE_ROWS, max_depth: int = MAX_DEPTH, rows: int | None = None
+    points: DataFrame, regions: DataFrame, metres: float, leaf_rows: int = LEAF_ROWS, sample_rows: int = SAMPLE_ROWS, max_depth: int = MAX_DEPTH, rows: int | None = None,
+    sampler: Callable[[float], DataFrame] | None = None,
 ) -> DataFrame:
     """(found_kind, key_a, key_b): pairs of points (key, lon, lat) within ``metres``, and (region, point) pairs of regions (region, wkt)."""
     spark = points.sparkSession
-    tree = build_quadtree(points, leaf_rows, sample_rows, max_depth, rows)
+    tree = build_quadtree(points, leaf_rows, sample_rows, max_depth, rows, sampler)
     blocks = np.where(tree.cell_rows > 2 * leaf_rows, np.ceil(tree.cell_rows / leaf_rows), 1).astype(np.int64)
     shared = spark.sparkContext.broadcast((tree, blocks))  # bounded by the sample
 

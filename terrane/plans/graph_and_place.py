@@ -93,7 +93,8 @@ SQL_ORPHANS_BY_MONTH = SQL_JUDGED + "SELECT ref_table, strftime(coalesce(edited_
 def p1_found(t: Tables):
     features = t("geo_features")
     zones = t("zones").select(F.col("zone_id").alias("region"), F.col("boundary_wkt").alias("wkt"))
-    return proximity.near_and_within(proximity.places(features), zones, NEAR_M, rows=features.count())
+    share = lambda fraction: proximity.places(features.sample(fraction=fraction, seed=7))
+    return proximity.near_and_within(proximity.places(features), zones, NEAR_M, rows=features.count(), sampler=share)
 
 
 def _subareas(t: Tables):
