@@ -163,8 +163,10 @@ class Engine:
         self.sources[name] = lambda: features(self.spark, kind, path, **options)
         return self
 
-    def add_osm(self, name: str, nodes: DataFrame, ways: DataFrame) -> Engine:
-        """Nodes (id, lat, lon, tags) with tags and ways (way_id, node_ids, tags) all of whose nodes are known."""
+    def add_osm(self, name: str, nodes: DataFrame, ways: DataFrame, relations: DataFrame | None = None, members: DataFrame | None = None) -> Engine:
+        """Nodes (id, lat, lon, tags) with tags, ways (way_id, node_ids, tags) all of whose nodes are known, and, if given, the areas of relations
+        (id, tags) of type multipolygon, boundary or land_area, put together from their member ways (relation_id, member_type, member_ref, member_pos, role).
+        """
         from terrane.functions.geo import feature_id
         from terrane.operators.osm import can_be_line, can_be_polygon, way_lines
 
@@ -178,7 +180,8 @@ class Engine:
                 feature_id(F.col("way_id"), F.lit("way")).alias("id"), F.lit("").alias("source_layer"), "tags", F.when(polygon, "polygon").otherwise("line").alias("geom_type"),
                 can_be_line(F.col("node_ids"), F.col("tags")).alias("can_be_line"), polygon.alias("can_be_polygon"), F.array(F.transform("line", lambda p: F.array(p["lon"], p["lat"]))).alias("shape"),
             )
-            return points.unionByName(shaped)
+            made = points.unionByName(shaped)
+            return made if relations is None or members is None else made.unionByName(_areas(nodes, ways, relations, members))
 
         self.sources[name] = make
         return self
@@ -223,6 +226,31 @@ class Engine:
         write(self.tiles(), path, self.metadata())
 
 
+def _areas(nodes: DataFrame, ways: DataFrame, relations: DataFrame, members: DataFrame) -> DataFrame:
+    """One polygon feature per closed area of each relation. A relation that cannot be put together gives none."""
+    import numpy as np
+
+    from terrane.functions.geo import feature_id
+    from terrane.kernels.geometry import assemble
+    from terrane.operators.osm import way_lines, way_multipolygons
+
+    links = way_multipolygons(relations, members, ways).select("relation_id", "way_id").distinct()
+    lines = links.join(way_lines(ways.join(links.select("way_id").distinct(), "way_id", "left_semi"), nodes), "way_id")
+    flat = lines.select("relation_id", "way_id", F.transform("line", lambda p: F.array(p["lon"], p["lat"])).alias("line"))
+
+    def run(group: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        try:
+            polygons = assemble([np.array([tuple(p) for p in line]) for line in group.sort_values("way_id")["line"]])
+        except (ValueError, IndexError):
+            return
+        if polygons:
+            yield pd.DataFrame({"relation_id": [group["relation_id"].iloc[0]] * len(polygons), "shape": [[r.tolist() for r in p] for p in polygons]})
+
+    shapes = over_groups(flat, ["relation_id"], run, "relation_id bigint, shape array<array<array<double>>>", kernel_partitions(flat))
+    joined = shapes.join(relations.select(F.col("id").alias("relation_id"), "tags"), "relation_id")
+    return joined.select(feature_id(F.col("relation_id"), F.lit("relation")).alias("id"), F.lit("").alias("source_layer"), "tags", F.lit("polygon").alias("geom_type"), F.lit(False).alias("can_be_line"), F.lit(True).alias("can_be_polygon"), "shape")
+
+
 def _world(shape: Column) -> Column:
     from terrane.functions.geo import world_x, world_y
 

@@ -138,6 +138,16 @@ def test_osm_source_and_tile_hook(spark):
     assert {tuple(r) for r in got} == {(72, "polygon"), (82, "line")}
 
 
+def test_areas_of_relations(spark):
+    nodes = spark.createDataFrame([(k, y, x, {}) for k, (x, y) in enumerate([(0.0, 0.0), (40.0, 0.0), (40.0, 40.0), (0.0, 40.0), (10.0, 10.0), (20.0, 10.0), (20.0, 20.0)], 1)], "id bigint, lat double, lon double, tags map<string,string>")
+    ways = spark.createDataFrame([(1, [1, 2, 3], {}), (2, [1, 4, 3], {}), (3, [5, 6, 7, 5], {"natural": "water"})], "way_id bigint, node_ids array<bigint>, tags map<string,string>")
+    relations = spark.createDataFrame([(9, {"type": "multipolygon", "landuse": "forest"}), (8, {"type": "route"})], "id bigint, tags map<string,string>")
+    members = spark.createDataFrame([(9, "way", w, k, r) for k, (w, r) in enumerate([(1, "outer"), (2, "wrong"), (3, None), (3, None), (77, "outer")])] + [(8, "way", 1, 0, "")], "relation_id bigint, member_type string, member_ref bigint, member_pos int, role string")
+    profile = Profile("a", [Handler(TagPresent("landuse"), {"layer": "land", "maxzoom": 0})], RenderOptions(render_maxzoom=0))
+    rows = Engine(spark, profile).add_osm("osm", nodes, ways, relations, members).rendered().collect()
+    assert [(r["id"], r["kind"], len(r["parts"])) for r in rows] == [(93, "polygon", 2)]
+
+
 def test_sorted_groups_over_batches():
     import pandas as pd
 
