@@ -8,7 +8,7 @@ sample of terms: frequent openings get longer prefixes. Matching subtrees of all
 
 Skew. A hot term, field or record shrinks map-side to one row per task before it is shuffled, and the shuffle key holds all three.
 A subtree merge reads at most one counter per term and flush. The number of records per field is counted by the same tries, as
-the empty term.
+the empty term; the merged counters, one row per term, are checkpointed, so that it can be read off them.
 
 Defined results for dirty input: rows with a null field, record or value, and empty values, count nowhere; a value without any letter
 or digit makes its record count for the field but has no term; very long values are used whole; a null key keeps the row (it can
@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrane.session import durable
 from terrane.streams import over_groups
 
 RARE_RECORDS = 3
@@ -191,17 +192,11 @@ def term_counts(values: DataFrame, declared: DataFrame, routes: int = 64, sample
             yield pd.DataFrame(out, columns=["field", "term", "occurrences", "records"])
 
     parts = term_rows(values, declared).mapInPandas(accumulate, "field string, route int, terms array<string>, occurrences array<bigint>, records array<bigint>")
-    counts = over_groups(parts, ["field", "route"], merge, "field string, term string, occurrences bigint, records bigint")
-    totals = term_totals(values, declared)
+    counts = durable(over_groups(parts, ["field", "route"], merge, "field string, term string, occurrences bigint, records bigint"))
+    totals = counts.filter("term = ''").select("field", F.col("records").alias("field_records"))
     return counts.filter("term != ''").join(totals, "field")
 
 
-def term_totals(values: DataFrame, declared: DataFrame) -> DataFrame:
-    """(field, field_records): how many records have a row of the field."""
-    real = values.filter("field is not null and record is not null and value is not null and value != ''").join(declared.distinct(), ["layer", "field"], "left_semi")
-    return real.select("field", "record").distinct().groupBy("field").agg(F.count("*").alias("field_records"))
-
-
 def marked(counts: DataFrame, rare: int = RARE_RECORDS, share: float = COMMON_SHARE) -> DataFrame:
     """Adds ``verdict``: rare, common or useful."""
     return counts.withColumn("verdict", F.when(F.col("records") < rare, "rare").when(F.col("records") > share * F.col("field_records"), "common").otherwise("useful"))
