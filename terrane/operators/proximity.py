@@ -83,8 +83,9 @@ def near_and_within(
             home, home_cell = quad.home(lon, lat)
             row, *box = reach(lon, lat, metres)
             at, leaf, cell = quad.touched(*box)
-            pair = np.unique(np.stack([row[at], leaf, cell], axis=1), axis=0)
-            row, leaf, cell = pair[:, 0], pair[:, 1], pair[:, 2]
+            row = row[at]
+            if len(box[0]) > len(key):  # boxes over the antimeridian come twice and may meet a cell twice
+                row, leaf, cell = np.unique(np.stack([row, leaf, cell], axis=1), axis=0).T
             block = np.array(pd.util.hash_array(key[row].astype(np.int64)) % cut[leaf].astype(np.uint64), dtype=np.int64)
             n = cut[leaf]
             rep = np.repeat(np.arange(len(row)), n)
@@ -121,7 +122,7 @@ def near_and_within(
         low, high = int(group["low"].iloc[0]), int(group["high"].iloc[0])
         index = PointTree(lon, lat)
         mine = np.flatnonzero(own)
-        step = max(16, min(4096, 4_000_000 // max(1, len(key))))
+        step = max(16, min(4096, 1_000_000 // max(1, len(key))))  # candidates of one chunk stay few even if all points are close
         for part in chunks(len(mine), step):
             rows = mine[part]
             at, *box = reach(lon[rows], lat[rows], metres)
@@ -133,8 +134,10 @@ def near_and_within(
             left, right = left[keep], right[keep]
             close = haversine(lon[left], lat[left], lon[right], lat[right]) <= metres
             if close.any():
-                pair = np.unique(np.stack([key[left[close]], key[right[close]]], axis=1), axis=0)
-                yield pd.DataFrame({"found_kind": "near", "key_a": pair[:, 0], "key_b": pair[:, 1]})
+                found = np.stack([key[left[close]], key[right[close]]], axis=1)
+                if len(at) > len(rows):
+                    found = np.unique(found, axis=0)
+                yield pd.DataFrame({"found_kind": "near", "key_a": found[:, 0], "key_b": found[:, 1]})
         if low == high:
             for region, text in zip(zones["key"], zones["wkt"]):
                 parts = polygons(text)
