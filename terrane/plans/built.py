@@ -200,3 +200,94 @@ def udf01(t: Tables):
             yield {"layer": "name", "minzoom": 5, "maxzoom": 5, "attrs": {"length": str(len(feature["tags"]["name"]))}}
 
     return _engine(t, Profile("python", [Handler(TagIn("name", ("%",)), function=handle)], r.RenderOptions(render_maxzoom=5, min_size_at_max=0.0))).rendered().select("id", "z", "x", "y", F.col("attrs")["length"].alias("length"))
+
+
+HOUSES = """
+layers:
+- id: house
+  features:
+  - {source: osm, geometry: polygon, min_zoom: 8, max_zoom: 8, include_when: {building: __any__}, attributes: [{key: kind, value: house}]}
+  tile_post_process: {merge_polygons: {min_area: 0.01}}
+"""
+
+
+@query("agg28_schema_post_process")
+def agg28(t: Tables):
+    """Polygons of a schema merged per tile as its post-process asks."""
+    from terrane.rules.schema import SchemaPlan
+
+    profile = Profile.of(SchemaPlan.load(HOUSES), options=r.RenderOptions(render_maxzoom=8, min_size_at_max=0.0))
+    return _engine(t, profile).rendered().groupBy("z", "x", "y").agg(F.count("*").alias("n_polygons"))
+
+
+@query("qry11_two_small_schemas")
+def qry11(t: Tables):
+    from terrane.plans.rules import source_features
+    from terrane.rules.schema import SchemaPlan
+
+    features = source_features(t)
+    made = [SchemaPlan.load(text).features(features).select("layer", "id", "min_zoom", F.size("attrs").alias("n_attrs")) for text in (POWER, HOUSES)]
+    return made[0].unionByName(made[1])
+
+
+@query("prj03_middle_halves")
+def prj03(t: Tables):
+    """The middle half of every way as a line feature, on tiles of zoom 8."""
+
+    def handle(feature: dict):
+        if feature["geom_type"] == "line":
+            line = np.array([tuple(p) for p in feature["shape"][0]])
+            yield {"layer": "part", "minzoom": 8, "maxzoom": 8, "shape": [g.part(line, 0.25, 0.75).tolist()], "attrs": {}}
+
+    return _engine(t, Profile("parts", [Handler(GeometryIs("line"), function=handle)], r.RenderOptions(render_maxzoom=8))).rendered().select("id", "z", "x", "y")
+
+
+@query("prj14_geometry_modes")
+def prj14(t: Tables):
+    """Each way as the points that the geometry modes make of it."""
+
+    def handle(feature: dict):
+        line = np.array([tuple(p) for p in feature["shape"][0]])
+        modes = {"line_midpoint": g.along(line, 0.5), "line_centroid": g.line_centroid(line)}
+        if feature["geom_type"] == "polygon":
+            ring = [g.closed(line)]
+            modes = {"polygon_centroid": g.centroid(ring), "polygon_point_on_surface": g.point_on_surface(ring), "innermost_point": g.innermost_point(ring)}
+        for mode, point in modes.items():
+            yield {"layer": mode, "kind": "point", "minzoom": 6, "maxzoom": 6, "shape": [[point.tolist()]], "attrs": {}}
+
+    profile = Profile("modes", [Handler(Or((GeometryIs("line"), GeometryIs("polygon"))), function=handle)], r.RenderOptions(render_maxzoom=6, buffer=0.0))
+    return _engine(t, profile).rendered().select("layer", "id", "x", "y")
+
+
+SPECS = [
+    {"name": "road", "input": {"geometry": "line", "tags": {"highway": "service", "name": "x"}}, "output": {"layer": "line", "geometry": "line", "min_zoom": 7, "tags": {"highway": "service", "name": "x"}}},
+    {"name": "house", "input": {"geometry": "polygon", "tags": {"building": "yes"}}, "output": {"layer": "house", "tags": {"building": "yes"}}},
+    {"name": "other", "input": {"geometry": "point", "tags": {"building": "yes"}}, "output": []},
+]
+
+
+@query("udf15_schema_specs")
+def udf15(t: Tables):
+    from terrane.rules.schema import SchemaPlan
+    from terrane.rules.specs import run
+
+    outcomes = run(t.spark, SchemaPlan.load(POWER), SPECS)
+    return t.spark.createDataFrame([(o.name, o.passed, "; ".join(o.problems)) for o in outcomes], "name string, passed boolean, problems string")
+
+
+STREAMED = """SELECT CAST(ts AS DATE) AS day, CAST(floor((((event_id * 7919) % 360000) / 1000.0 - 180 + 180) / 360 * 4) AS BIGINT) AS x, count(*) AS n FROM events GROUP BY ALL"""
+
+
+@query("ext01_streamed_daily_counts", STREAMED)
+def ext01(t: Tables):
+    """The event stream, read to its end: counts per day and tile column. An extension."""
+    import uuid
+
+    from terrane.session import checkpoint_dir
+    from terrane.streaming.tiles import windowed_tile_counts
+
+    events = t.spark.readStream.schema(t("events").schema).parquet(f"{t.folder}/events.parquet*")
+    name = "s" + uuid.uuid4().hex
+    counted = windowed_tile_counts(events, 2).writeStream.outputMode("complete").format("memory").queryName(name)
+    counted.option("checkpointLocation", f"{checkpoint_dir(t.spark)}/{name}").trigger(availableNow=True).start().awaitTermination()
+    return t.spark.table(name).groupBy(F.to_date("start").alias("day"), "x").agg(F.sum("n").alias("n"))
