@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 
 FANOUT = 16
@@ -48,8 +46,3 @@ class PointTree:
             query, node = query[real], child[real]
         inside = (self.x[node] >= x0[query]) & (self.x[node] <= x1[query]) & (self.y[node] >= y0[query]) & (self.y[node] <= y1[query])
         return query[inside], self.order[node[inside]]
-
-
-def chunks(n: int, size: int) -> Iterator[slice]:
-    for start in range(0, n, size):
-        yield slice(start, min(n, start + size))

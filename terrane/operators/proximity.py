@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrane.kernels.quadtree import QuadTree
-from terrane.kernels.rtree import PointTree, chunks
+from terrane.kernels.rtree import PointTree
 from terrane.kernels.sphere import haversine, reach
 from terrane.kernels.wkt import bounds, in_polygons, polygons
 from terrane.streams import over_groups
@@ -35,6 +35,8 @@ SAMPLE_ROWS = 60_000
 #: Rows that a leaf should hold; a leaf over twice as heavy at the deepest level is cut into blocks of this size.
 LEAF_ROWS = 20_000
 MAX_DEPTH = 20
+#: Candidate pairs that one step of the probing should meet.
+CANDIDATES = 500_000
 
 _NUMBER = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
 #: Group 1 holds the first two numbers; up to two more may follow.
@@ -122,11 +124,13 @@ def near_and_within(
         low, high = int(group["low"].iloc[0]), int(group["high"].iloc[0])
         index = PointTree(lon, lat)
         mine = np.flatnonzero(own)
-        step = max(16, min(4096, 1_000_000 // max(1, len(key))))  # candidates of one chunk stay few even if all points are close
-        for part in chunks(len(mine), step):
-            rows = mine[part]
+        start, step = 0, 256
+        while start < len(mine):
+            rows = mine[start : start + step]
+            start += len(rows)
             at, *box = reach(lon[rows], lat[rows], metres)
             query, hit = index.probe(*box)
+            step = int(np.clip(CANDIDATES * len(rows) / max(len(query), 1), 16, 8192))  # dense places are probed in small steps
             left, right = rows[at[query]], hit
             keep = key[left] < key[right]
             if low != high:
