@@ -167,9 +167,35 @@ def hierarchies(links: DataFrame, component_rows: int = COMPONENT_ROWS) -> DataF
 
 
 def descendants(tree: DataFrame) -> DataFrame:
-    """(ancestor_id, descendant_id, distance): every node with everything below it, read off the paths; nothing is grouped.
-
-    Nodes below a cycle have their ancestors down from the cycle; members of one cycle are not listed as each other's descendants.
-    """
+    """(ancestor_id, descendant_id, distance) along the paths; nothing is grouped. See all_descendants for what lies on and below cycles."""
     step = tree.filter("size(path) > 1").select("node_id", "path", F.posexplode(F.slice("path", F.lit(1), F.size("path") - 1)).alias("at", "ancestor_id"))
     return step.select("ancestor_id", F.col("node_id").alias("descendant_id"), (F.size("path") - 1 - F.col("at")).alias("distance"))
+
+
+def ring_descendants(tree: DataFrame, links: DataFrame) -> DataFrame:
+    """(ancestor_id, descendant_id, distance) whose ancestor is on a cycle: ``tree`` as made by hierarchies from ``links`` as clean_links leaves them.
+
+    The link into the smallest node of each cycle is cut, which leaves a chain; its pointers double until every member knows its place.
+    """
+    up = links.select(F.col("child").alias("node"), "parent")
+    ring = durable(tree.filter("standing = 'cycle'").select(F.col("node_id").alias("node"), F.col("root_id").alias("ring_id")).join(up, "node"))
+    first = F.col("node") == F.col("ring_id")
+    start = ring.select("node", F.when(first, F.col("node")).otherwise(F.col("parent")).alias("up"), first.alias("done"), F.col("node").alias("low"), F.when(first, F.array().cast("array<bigint>")).otherwise(F.array("node")).alias("trail"))
+    placed = _doubled(durable(start), 1 << 62, True).select("node", F.col("up").alias("ring_id"), F.size("trail").alias("place"))
+    members = durable(placed.join(placed.groupBy("ring_id").agg(F.count("*").cast("int").alias("n")), "ring_id"))
+    below = tree.filter("standing = 'below_cycle'").select("node_id", "depth", F.col("path")[0].alias("node")).join(up, "node").select("node_id", "depth", F.col("parent").alias("node"))
+    ends = members.select("ring_id", F.col("node").alias("node_id"), "place", F.lit(0).alias("depth")).unionByName(below.join(members, "node").select("ring_id", "node_id", "place", "depth"))
+    pairs = ends.join(members.select("ring_id", "n", F.col("node").alias("ancestor_id"), F.col("place").alias("from")), "ring_id")
+    along = F.pmod(F.col("place") - F.col("from"), F.col("n")) + F.col("depth")
+    return pairs.select("ancestor_id", F.col("node_id").alias("descendant_id"), F.when(along == 0, F.col("n")).otherwise(along).alias("distance"))
+
+
+def all_descendants(links: DataFrame, component_rows: int = COMPONENT_ROWS) -> DataFrame:
+    """(ancestor_id, descendant_id, distance): every node of ``links`` (parent, child) with everything below it, each pair once.
+
+    Distance is the least number of links from the one down to the other. A node on a cycle has below it all members of the cycle, itself
+    included at the distance once round, and everything below any of them.
+    """
+    links = durable(clean_links(links))
+    tree = durable(hierarchies(links, component_rows))
+    return descendants(tree).unionByName(ring_descendants(tree, links))

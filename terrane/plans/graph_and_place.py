@@ -111,7 +111,7 @@ def p2_found(t: Tables):
 
 @query("p2_descendants")
 def p2_descendants(t: Tables):
-    return hierarchy.descendants(hierarchy.hierarchies(_subareas(t)))
+    return hierarchy.all_descendants(_subareas(t))
 
 
 @query("p3_found", SQL_CHANGES)

@@ -71,5 +71,25 @@ def test_descendants(spark):
     assert {tuple(r) for r in hierarchy.descendants(tree).collect()} == {(1, 2, 1), (1, 3, 2), (2, 3, 1)}
 
 
+@pytest.mark.parametrize("limit", [10**6, 0])
+def test_all_descendants_with_cycles(spark, limit):
+    links = random_links(limit, 40) + [(2000, 1999), (1999, 1998), (3001, 3002), (3000, 3003)]
+    parent = {}
+    for p, c in links:
+        if p is not None and c is not None:
+            parent[c] = min(p, parent.get(c, p))
+    want = set()
+    for node in parent:
+        up, distance, seen = parent[node], 1, set()
+        while up is not None and up not in seen:
+            seen.add(up)
+            want.add((up, node, distance))
+            up, distance = parent.get(up), distance + 1
+    got = [tuple(r) for r in hierarchy.all_descendants(spark.createDataFrame([(*x, "clash") for x in links], SCHEMA), limit).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert {(1000, 1000, 3), (1002, 1001, 2), (2000, 2000, 1), (1001, 1004, 3)} <= want
+
+
 def test_empty(spark):
+    assert hierarchy.all_descendants(spark.createDataFrame([(None, 1, "")], SCHEMA)).count() == 0
     assert hierarchy.hierarchies(spark.createDataFrame([(None, 1, "")], SCHEMA)).count() == 0
