@@ -6,8 +6,8 @@ budget is first spent on complete epochs (every text once), as often as it fits
 texts whose prefix sums stay within it; the text that crosses the rest is taken if that comes nearer.
 
 The default total is the largest at which every source can meet its share; targets without any text get nothing and the others
-keep their proportions. Texts that are equal to the letter count as one text, of the source of their smallest key, however many
-archives hold them, so no text is used more than ``max_repeats`` times.
+keep their proportions. Texts that are equal to the letter count as one text, of the source of their smallest key among the sources that
+may be drawn from, however many archives hold them, so no text is used more than ``max_repeats`` times.
 
 Quality weight: characters per token, scaled to [0.05, 1]. Natural prose needs few tokens for its characters, encoded or random
 matter many.
@@ -47,7 +47,8 @@ def mixture(sized: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     """The drawn texts (doc_id, source, n_tokens, copies) and the plan (source, target_share, max_repeats, available_tokens, budget, epochs, rest)."""
     spark = sized.sparkSession
     goal = targets.filter("source is not null and target_share > 0").groupBy("source").agg(F.max(F.struct("target_share", F.greatest(F.coalesce("max_repeats", F.lit(1)), F.lit(0)).alias("max_repeats"))).alias("g")).select("source", "g.*")
-    texts = durable(distinct_texts(sized).join(goal.select("source"), "source", "left_semi"))
+    drawable = goal.filter("max_repeats > 0").select("source")  # before equal texts become one, so that no other source takes a text away
+    texts = durable(distinct_texts(sized.join(drawable, "source", "left_semi")))
     have = texts.groupBy("source").agg(F.sum("n_tokens").alias("available_tokens"), F.avg(_weight()).alias("mean_weight"))
     rows = goal.join(have, "source", "left").collect()  # one row per target
     live = [r for r in rows if r["available_tokens"] and r["max_repeats"] > 0]

@@ -52,6 +52,15 @@ def test_equal_texts_are_one_text(spark):
     assert sorted((r["doc_id"], r["copies"]) for r in drawn) == [(1, 1), (4, 1)]
 
 
+def test_a_text_stays_with_the_targets_that_hold_it(spark):
+    """Copies in a source without a target, with a share of nothing or that may not be drawn from take no text away."""
+    rows = [(k, source, f"d{k}", 40, 10) for k, source in enumerate(["none", "zero", "never", "none"])] + [(10 + k, "a", f"d{k}", 40, 10) for k in range(4)] + [(20, "b", "d0", 40, 10), (21, "b", "own", 40, 10)]
+    targets = spark.createDataFrame([("a", 0.8, 1, ""), ("b", 0.2, 1, ""), ("zero", 0.0, 1, ""), ("never", 0.5, 0, "")], TARGETS)
+    drawn, plan = mixture.mixture(table(spark, rows), targets)
+    assert sorted(r["doc_id"] for r in drawn.collect()) == [10, 11, 12, 13, 21]
+    assert {r["source"]: r["available_tokens"] for r in plan.collect()} == {"a": 40, "b": 10, "never": 0}
+
+
 def test_dirty_rows_and_empty_tables(spark):
     rows = [(1, None, "x", 40, 10), (2, "a", "y", 0, 0), (3, "b", "z", 40, 10), (4, "c", "w", 40, 10)]
     targets = spark.createDataFrame([("a", 0.5, 1, ""), ("b", 0.5, None, ""), ("c", -1.0, 1, ""), (None, 0.1, 1, ""), ("b", 0.4, 9, "")], TARGETS)
