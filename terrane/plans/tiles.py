@@ -100,6 +100,14 @@ def win02(t: Tables):
     return stats.top_per_group(keyed, ["z", "tx", "ty", "cell"], [F.col("sort_key"), F.col("event_id")], 5).select("event_id", "z", "tx", "ty", "rank")
 
 
+@query("win02_label_rank_all_zooms")
+def win02_all(t: Tables):
+    """Ranks of the five dearest of all events in each cell, on every zoom made."""
+    side = F.pow(F.lit(2.0), F.col("z"))
+    keyed = events_on_tiles(t).withColumn("cell", geo.label_grid_id(F.col("wx") * side, F.col("wy") * side, F.lit(0.125))).withColumn("sort_key", tiling.SortKey().doubles(F.col("value"), 500, 0, 1000).get())
+    return stats.top_per_group(keyed, ["z", "tx", "ty", "cell"], [F.col("sort_key"), F.col("event_id")], 5).select("event_id", "z", "tx", "ty", "rank")
+
+
 @query("agg01_by_tile", f"WITH {ON_TILES} SELECT z, tx, ty, count(*) AS n, count(DISTINCT event_type) AS n_types FROM tiles GROUP BY z, tx, ty")
 def agg01(t: Tables):
     return events_on_tiles(t).groupBy("z", "tx", "ty").agg(F.count("*").alias("n"), F.count_distinct("event_type").alias("n_types"))
@@ -229,6 +237,17 @@ def srt01(t: Tables):
     return tiles.withColumn("inside", inside).join(before, ["z", "tx"]).select("z", "tx", "ty", "event_id", (F.col("before") + F.col("inside")).alias("place"))
 
 
+@query("srt01_tile_order_all_zooms")
+def srt01_all(t: Tables):
+    """The same order on every zoom made; tiles are cut into ranges of ids, since all events share the one tile of zoom 0."""
+    cut = F.floor(F.col("event_id") / 65_536)
+    tiles = events_on_tiles(t).withColumn("tid", geo.tile_id(F.col("z"), F.col("tx"), F.col("ty"))).withColumn("cut", cut)
+    counts = tiles.groupBy("z", "tid", "cut").agg(F.count("*").alias("n"))
+    before = counts.select("z", "tid", "cut", (F.sum("n").over(Window.partitionBy("z").orderBy("tid", "cut")) - F.col("n")).alias("before"))  # one row per tile and range
+    inside = F.row_number().over(Window.partitionBy("z", "tid", "cut").orderBy("event_id"))
+    return tiles.withColumn("inside", inside).join(before, ["z", "tid", "cut"]).select("z", "tx", "ty", "event_id", (F.col("before") + F.col("inside")).alias("place"))
+
+
 @query("srt06_hilbert_order", f"WITH {EVENTS}, c AS (SELECT event_id, event_type, CAST(floor(wx * 32768) AS BIGINT) AS x, CAST(floor(wy * 32768) AS BIGINT) AS y FROM ev WHERE wy BETWEEN 0 AND 0.9999), h AS (SELECT event_id, event_type, {geo.hilbert_sql(15, 'x', 'y')} AS h FROM c) SELECT event_id, h AS hilbert, CAST(row_number() OVER (PARTITION BY event_type, event_id % 50 ORDER BY h, event_id) AS INTEGER) AS place FROM h")
 def srt06(t: Tables):
     at = event_points(t).filter("wy between 0 and 0.9999").withColumn("hilbert", geo.hilbert_index(15, geo.tile_column(F.col("wx"), F.lit(15)), geo.tile_column(F.col("wy"), F.lit(15))))
