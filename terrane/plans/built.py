@@ -18,8 +18,10 @@ from terrane.plans.registry import Tables, query
 from terrane.rules.ast import And, GeometryIs, Or, TagIn, TagPresent
 
 
-def _engine(t: Tables, profile: Profile) -> Engine:
-    return Engine(t.spark, profile).add_osm("osm", current_nodes(t), current_ways(t))
+def _engine(t: Tables, profile: Profile, areas: bool = True) -> Engine:
+    """Nodes, ways and the areas of relations; the latter can be left away where ways alone are asked for."""
+    relations = (current_relations(t), t("relation_members")) if areas else ()
+    return Engine(t.spark, profile).add_osm("osm", current_nodes(t), current_ways(t), *relations)
 
 
 def roads_and_buildings(maxzoom: int = 8) -> Profile:
@@ -150,9 +152,9 @@ def snk16(t: Tables):
 
 @query("qry01_points_with_label_limit")
 def qry01(t: Tables):
-    """Tagged nodes as labels: 32-pixel cells, four labels each, by id."""
-    options = r.RenderOptions(buffer=32.0, grid_px=32.0, grid_limit=4, grid_maxzoom=12, render_maxzoom=8)
-    profile = Profile("labels", [Handler(GeometryIs("point"), {"layer": "label", "minzoom": 0, "maxzoom": 8})], options)
+    """Tagged nodes as labels on zooms 0 to 14: 32-pixel cells, four labels each up to zoom 12, by id."""
+    options = r.RenderOptions(buffer=32.0, grid_px=32.0, grid_limit=4, grid_maxzoom=12, render_maxzoom=14)
+    profile = Profile("labels", [Handler(GeometryIs("point"), {"layer": "label", "minzoom": 0, "maxzoom": 14})], options)
     return _engine(t, profile).rendered().select("id", "z", "x", "y", "cell")
 
 
@@ -239,7 +241,7 @@ def prj03(t: Tables):
             line = np.array([tuple(p) for p in feature["shape"][0]])
             yield {"layer": "part", "minzoom": 8, "maxzoom": 8, "shape": [g.part(line, 0.25, 0.75).tolist()], "attrs": {}}
 
-    return _engine(t, Profile("parts", [Handler(GeometryIs("line"), function=handle)], r.RenderOptions(render_maxzoom=8))).rendered().select("id", "z", "x", "y")
+    return _engine(t, Profile("parts", [Handler(GeometryIs("line"), function=handle)], r.RenderOptions(render_maxzoom=8)), areas=False).rendered().select("id", "z", "x", "y")
 
 
 @query("prj14_geometry_modes")
@@ -256,7 +258,7 @@ def prj14(t: Tables):
             yield {"layer": mode, "kind": "point", "minzoom": 6, "maxzoom": 6, "shape": [[point.tolist()]], "attrs": {}}
 
     profile = Profile("modes", [Handler(Or((GeometryIs("line"), GeometryIs("polygon"))), function=handle)], r.RenderOptions(render_maxzoom=6, buffer=0.0))
-    return _engine(t, profile).rendered().select("layer", "id", "x", "y")
+    return _engine(t, profile, areas=False).rendered().select("layer", "id", "x", "y")
 
 
 SPECS = [

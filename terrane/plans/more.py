@@ -17,6 +17,7 @@ from terrane.plans.analytics import TILE_LOADS
 from terrane.plans.built import _engine, _zone_features, roads_and_buildings
 from terrane.plans.points import EVENTS, NODES, WAYS, current_nodes, current_ways, event_points
 from terrane.plans.registry import Tables, query
+from terrane.session import durable
 from terrane.plans.rules import FEATURES, _tested, source_features
 from terrane.plans.scalars import LENIENT, SPELLED, spelled
 from terrane.plans.tiles import CONTENT, events_on_tiles, ON_TILES, tile_contents
@@ -406,6 +407,6 @@ def udf06(t: Tables):
 def snk15(t: Tables):
     from terrane.operators import render as r
 
-    rendered = _engine(t, roads_and_buildings(5)).rendered()
+    rendered = durable(_engine(t, roads_and_buildings()).rendered())
     sizes = lambda how: r.encode_tiles(rendered, how).select("z", "x", "y", F.length("data").alias(how))
     return sizes("gzip").join(sizes("none"), ["z", "x", "y"])
