@@ -399,8 +399,8 @@ def udf05(t: Tables):
 @query("udf06_tile_hook")
 def udf06(t: Tables):
     profile = roads_and_buildings(6)
-    profile.post_process_tile = lambda group: group.sort_values("id").head(20)
-    return _engine(t, profile).rendered().groupBy("z", "x", "y").agg(F.count("*").alias("n"))
+    profile.post_process_tile = lambda group: group.sort_values(["id", "layer"]).assign(sort_key=range(len(group)))
+    return _engine(t, profile).rendered().groupBy("z", "x", "y").agg(F.count("*").alias("n"), F.max("sort_key").alias("last"))
 
 
 @query("snk15_compressed_tiles")

@@ -34,3 +34,11 @@ def test_compressed_tiles_have_the_buildings(spark):
         layers.setdefault((r["z"], r["x"], r["y"]), set()).add(r["layer"])
     assert {z for z, _, _ in made} == {4, 5, 6, 7, 8} and made <= set(layers)
     assert any(layers[tile] == {"building"} for tile in made)
+
+
+def test_tile_hook_keeps_every_feature(spark):
+    """As many features as the layer hook leaves, which sees the same build."""
+    hooked = entry.queries()["udf06_tile_hook"](spark, DATA).collect()
+    totals = {r["z"]: r["n"] for r in entry.queries()["udf05_layer_hook"](spark, DATA).groupBy("z").agg(F.sum("n").alias("n")).collect()}
+    assert {z: sum(r["n"] for r in hooked if r["z"] == z) for z in totals} == totals
+    assert max(r["n"] for r in hooked) > 20 and all(r["last"] == r["n"] - 1 for r in hooked)
