@@ -11,7 +11,7 @@ PROSE = "The road in Torva was built from the old extract and it takes an hour\n
 
 
 def form(body, kind="text/plain"):
-    return prose.statistics(HEAD.format(kind) + body, PROFILES)[-1]
+    return prose.statistics([HEAD.format(kind) + body], PROFILES)["form"][0]
 
 
 CASES = [
@@ -56,13 +56,41 @@ def test_divergence():
 
 
 def test_language_profiles():
-    assert prose.statistics(HEAD.format("text/plain") + PROSE, PROFILES)[8] == "en"
-    assert prose.statistics(HEAD.format("text/plain") + "Das ist auch der Grund, und die Wege von der Liste sind nicht auf dem Plan.", PROFILES)[8] == "de"
-
+    german = "Das ist auch der Grund, und die Wege von der Liste sind nicht auf dem Plan."
+    assert prose.statistics([HEAD.format("text/plain") + PROSE, HEAD.format("text/plain") + german], PROFILES)["nearest_language"].tolist() == ["en", "de"]
+    unranked = prose.Profiles([("en", "the", None), ("en", "of", 1), ("en", "of", 7), (None, "x", 1)])
+    assert unranked.common == {"the", "of"} and unranked.weights[0, unranked.code["of"]] > unranked.weights[0, unranked.code["the"]] > 0
+    with pytest.raises(ValueError):
+        prose.Profiles([("en", f"w{k}", k) for k in range(prose.MAX_WORDS_PER_LANGUAGE + 1)])
+
+
+def test_both_divergences_decide(monkeypatch):
+    body = HEAD.format("text/plain") + "".join(f"{k}. fix grid Velna{k}\n" for k in range(9))
+    assert prose.statistics([body], PROFILES)["form"][0] == "list"
+    monkeypatch.setattr(prose.structure, "WEIGHTS", (0.0, 0.0, 0.0, 0.0))
+    assert prose.statistics([body], prose.Profiles(WORDS))["form"][0] != "list"
+    mixed = (PROSE + "".join(f"Selna Tor {k}\n" for k in "abcdefghijk"),)
+    shares = prose.statistics(list(mixed), PROFILES)
+    monkeypatch.setattr(prose, "WORD_WEIGHT", 0.0)
+    assert shares["word_divergence"][0] < 1 and 0 < shares["common_words"][0] < 1
+
+
+def test_statistics_do_not_depend_on_the_step(monkeypatch):
+    texts = [HEAD.format("text/plain") + body for body, _ in CASES] + [None]
+    whole = prose.statistics(texts, PROFILES)
+    monkeypatch.setattr(prose, "STEP_CHARS", 50)
+    monkeypatch.setattr(prose.structure, "STEP_CHARS", 40)
+    assert prose.statistics(texts, PROFILES).round(9).equals(whole.round(9))
+
+
+def test_counts():
+    row = prose.statistics([HEAD.format("text/plain") + "The cat is 12 years old.\nA dog too"], PROFILES).iloc[0]
+    assert (row["n_lines"], row["n_words"], row["punctuated_lines"]) == (2, 8, 0.5)
+    assert round(row["mean_word_length"], 6) == 23 / 8 and row["common_words"] == 3 / 8
 
 def test_table_over_dirty_rows(spark):
     rows = [(1, HEAD.format("text/plain") + PROSE, "x"), (1, HEAD.format("text/plain") + PROSE, "x"), (2, None, "x"), (3, "", "x"), (None, "no headers, just words\n" * 20_000, "x")]
     out = prose.text_statistics(spark.createDataFrame(rows, "doc_id bigint, text string, form string"), WORDS).collect()
     assert sorted((r["doc_id"] or 0, r["form"]) for r in out)[1:] == [(1, "prose"), (1, "prose"), (2, "none"), (3, "none")]
     assert prose.text_statistics(spark.createDataFrame([], "doc_id bigint, text string"), WORDS).count() == 0
-    assert prose.Profiles([]).nearest({}, 0) == ("", 1.0)
+    assert prose.statistics([HEAD.format("text/plain") + PROSE], prose.Profiles([]))["nearest_language"][0] == ""
