@@ -1,17 +1,15 @@
 """Problem 6: filling containers of fixed capacity with items that are not divided unless one alone is larger.
 
-The method named for this problem (``pack_inside``): the global histogram of item lengths, which has at most ``capacity`` bins, is
-all that reaches the driver; dynamic programming over it chooses the length buckets that minimise padding, and token-budget
-batches form inside each bucket. It cannot leave as little room as possible: a bucket of 1,100 tokens allows one item a container
-whatever small items exist elsewhere, and about a fifth of all room stays empty (figures in the README).
+Method: optimal length buckets. The global histogram of item lengths, which has at most ``capacity`` bins, is all that reaches the driver.
+Dynamic programming over it chooses the boundaries of length buckets that minimise padding, and token-budget batches form
+inside each bucket: every batch starts from the largest length left in the bucket and is filled up to the budget with its real lengths,
+found as a subset sum, and is repeated while the counts last. How many buckets there are is chosen by the histogram as well: of
+1, 2, 4, ... ``BUCKETS`` buckets those that leave the least room, more of them where several leave as little. A length near the capacity
+needs short items to fill its container up, so narrow buckets can leave much room (``fill_by_buckets`` reports it).
 
-``pack`` therefore keeps the histogram but plans its batches over all lengths: each pattern starts from the largest length left and is filled
-up as far as the counts allow, found as a subset sum, and is repeated while the counts last. It gives the fewest containers possible or a
-few more.
-
-Both give items their places without any task seeing a whole bucket: items are ranked in (bucket, salt) groups, the groups' counts
-give offsets, and the rank of an item within its bucket names its container through the plan, which has a few rows per
-bucket. Items above the capacity are cut into full containers and one remainder, which is packed like any other item.
+Items get their places without any task seeing a whole bucket: items are ranked in (length, salt) groups, the groups' counts
+give offsets, and the rank of an item within its length names its container through the plan, which has a few rows per
+length. Items above the capacity are cut into full containers and one remainder, which is packed like any other item.
 
 Defined results for dirty input: null and empty texts have no tokens and are in no container; equal lengths are ranked by key;
 repeated rows are packed once each; an empty table gives no containers; extra columns are ignored.
@@ -26,7 +24,7 @@ from pyspark.sql import functions as F
 from terrane.session import durable
 
 CAPACITY = 2048
-#: Buckets of the method that batches inside them.
+#: The most buckets tried.
 BUCKETS = 64
 #: Items that one ranking group should hold.
 GROUP_ROWS = 100_000
@@ -105,31 +103,38 @@ def plan_patterns(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> list[
     return patterns
 
 
-def plan_inside(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
-    """Patterns that never leave a bucket."""
-    patterns = []
-    for size, n in zip(sizes.tolist(), counts.tolist()):
-        each = capacity // size
-        if n // each:
-            patterns.append(([size] * each, n // each))
-        if n % each:
-            patterns.append(([size] * (n % each), 1))
-    return patterns
+def plan_buckets(sizes: np.ndarray, counts: np.ndarray, capacity: int, buckets: int | None = None) -> tuple[list[tuple[list[int], int]], int]:
+    """Batches that stay inside their length bucket, and the number of buckets: as given, or the one that needs the fewest containers."""
+    if not len(sizes):
+        return [], 0
+    best: tuple[int, int] | None = None
+    chosen: tuple[list, int] = ([], 0)
+    for k in [buckets] if buckets else [1 << e for e in range(BUCKETS.bit_length()) if 1 << e <= BUCKETS]:
+        at = np.searchsorted(optimal_buckets(sizes, counts, k), sizes)
+        n = int(at.max()) + 1
+        tokens = np.bincount(at, sizes * counts, minlength=n)
+        if best is not None and np.ceil(tokens / capacity).sum() > best[0]:
+            continue  # it cannot need fewer
+        patterns = [p for b in range(n) for p in plan_patterns(sizes[at == b], counts[at == b], capacity)]
+        needed = sum(times for _, times in patterns)
+        if best is None or (needed, -n) < best:
+            best, chosen = (needed, -n), (patterns, n)
+    return chosen
 
 
 def _ranked(items: DataFrame, key: str, salts: int) -> DataFrame:
-    """Adds ``rank`` from 0 within each ``bucket``, by salted groups."""
+    """Adds ``rank`` from 0 within each length ``rest``, by salted groups."""
     salted = items.withColumn("salt", F.pmod(F.xxhash64(key, F.lit(3)), F.lit(salts)).cast("int"))
-    groups = salted.groupBy("bucket", "salt").agg(F.count("*").alias("n"))
-    offsets = groups.select("bucket", "salt", (F.sum("n").over(Window.partitionBy("bucket").orderBy("salt")) - F.col("n")).alias("offset"))
-    local = salted.withColumn("local", F.row_number().over(Window.partitionBy("bucket", "salt").orderBy(key, "n_tokens")))
-    return local.join(offsets, ["bucket", "salt"]).withColumn("rank", F.col("offset") + F.col("local") - 1).drop("offset", "local", "salt")
+    groups = salted.groupBy("rest", "salt").agg(F.count("*").alias("n"))
+    offsets = groups.select("rest", "salt", (F.sum("n").over(Window.partitionBy("rest").orderBy("salt")) - F.col("n")).alias("offset"))
+    local = salted.withColumn("local", F.row_number().over(Window.partitionBy("rest", "salt").orderBy(key, "n_tokens")))
+    return local.join(offsets, ["rest", "salt"]).withColumn("rank", F.col("offset") + F.col("local") - 1).drop("offset", "local", "salt")
 
 
-def pack(lengths: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, buckets: int | None = None, planner=plan_patterns, group_rows: int = GROUP_ROWS) -> DataFrame:
+def pack(lengths: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, buckets: int | None = None, group_rows: int = GROUP_ROWS) -> DataFrame:
     """(container_id, key, part, first_token, n_tokens) from ``lengths`` (key, n_tokens).
 
-    ``lengths`` is read several times; pass a written or checkpointed table. Without ``buckets`` every length is a bucket of its own.
+    ``lengths`` is read several times; pass a written or checkpointed table. Without ``buckets`` their number is chosen.
     """
     spark = lengths.sparkSession
     whole = lengths.filter("n_tokens > 0").select(key, (F.col("n_tokens") % capacity).cast("int").alias("rest"), F.floor(F.col("n_tokens") / capacity).cast("bigint").alias("full"), "n_tokens")
@@ -142,24 +147,15 @@ def pack(lengths: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, buck
     if not n_rows:
         return spark.createDataFrame([], schema)
     rows, base = [], 0
-    bound_of: list[tuple[int, int]] = []
-    if len(size):
-        bounds = optimal_buckets(size, count, buckets or capacity)
-        at = np.searchsorted(bounds, size)
-        bound_of = [(int(a), int(bounds[b])) for a, b in zip(size, at)]
-        filled = np.zeros(len(bounds), dtype=np.int64)
-        np.add.at(filled, at, count)
-        given = dict.fromkeys(bounds.tolist(), 0)
-        for pattern, times in planner(bounds, filled, capacity):
-            for bucket in set(pattern):
-                amount = pattern.count(bucket) * times
-                rows.append((int(bucket), given[bucket], given[bucket] + amount, base, times))
-                given[bucket] += amount
-            base += times
-    plan = spark.createDataFrame(rows or [(0, 0, 0, 0, 1)], "bucket int, since bigint, until bigint, base bigint, times bigint")  # a few rows per bucket
-    bucket_of = spark.createDataFrame(bound_of or [(0, 0)], "rest int, bucket int")  # at most `capacity` rows
-    items = whole.filter("rest > 0").join(F.broadcast(bucket_of), "rest")
-    placed = _ranked(items, key, salts).join(F.broadcast(plan), "bucket").filter("rank >= since and rank < until")
+    given = dict.fromkeys(size.tolist(), 0)
+    for pattern, times in plan_buckets(size, count, capacity, buckets)[0]:
+        for rest in set(pattern):
+            amount = pattern.count(rest) * times
+            rows.append((rest, given[rest], given[rest] + amount, base, times))
+            given[rest] += amount
+        base += times
+    plan = spark.createDataFrame(rows or [(0, 0, 0, 0, 1)], "rest int, since bigint, until bigint, base bigint, times bigint")  # a few rows per length
+    placed = _ranked(whole.filter("rest > 0"), key, salts).join(F.broadcast(plan), "rest").filter("rank >= since and rank < until")
     rests = placed.select((F.col("base") + (F.col("rank") - F.col("since")) % F.col("times")).alias("container_id"), key, F.col("full").cast("int").alias("part"), (F.col("full") * capacity).alias("first_token"), F.col("rest").cast("bigint").alias("n_tokens"))
     if not int(seen["full"].sum()):
         return rests
@@ -172,11 +168,6 @@ def pack(lengths: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, buck
     return fulls.unionByName(rests)
 
 
-def pack_inside(lengths: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, buckets: int = BUCKETS) -> DataFrame:
-    """``pack`` with batches that stay inside their length bucket."""
-    return pack(lengths, key, capacity, buckets, plan_inside)
-
-
 def fill_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """One row: containers, tokens, the fewest containers that could hold them, and the share of room left."""
     each = packed.groupBy("container_id").agg(F.sum("n_tokens").alias("used"), F.count("*").alias("items"))
@@ -187,6 +178,22 @@ def fill_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     )
 
 
+def fill_by_buckets(lengths: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """(n_buckets, n_containers, least_containers, room_left) by number of buckets; ``chosen`` marks the one that ``pack`` takes."""
+    whole = lengths.filter("n_tokens > 0").select((F.col("n_tokens") % capacity).cast("int").alias("rest"), F.floor(F.col("n_tokens") / capacity).cast("bigint").alias("full"))
+    seen = whole.groupBy("rest").agg(F.count("*").alias("n"), F.sum("full").alias("full")).toPandas()  # at most `capacity` rows
+    hist = seen[seen["rest"] > 0].sort_values("rest")
+    size, count, full = hist["rest"].to_numpy(np.int64), hist["n"].to_numpy(np.int64), int(seen["full"].sum()) if len(seen) else 0
+    chosen = plan_buckets(size, count, capacity)[1]
+    tokens = int((size * count).sum()) + full * capacity
+    rows = []
+    for k in [1 << e for e in range(BUCKETS.bit_length())] if tokens else []:
+        patterns, n = plan_buckets(size, count, capacity, k)
+        needed = sum(times for _, times in patterns) + full
+        rows.append((n, needed, -(-tokens // capacity), round(1 - tokens / (needed * capacity), 6), n == chosen))
+    return lengths.sparkSession.createDataFrame(rows, "n_buckets int, n_containers bigint, least_containers bigint, room_left double, chosen boolean").distinct()
+
+
 def document_lengths(documents: DataFrame, vocabulary: str | None = None) -> DataFrame:
     from terrane.llm.tokens import VOCABULARY, token_counts
 

@@ -49,7 +49,8 @@ def p6_fill(t: Tables):
 
 @query("p6_fill_inside_buckets")
 def p6_fill_inside_buckets(t: Tables):
-    return packing.fill_report(packing.pack_inside(packing.document_lengths(t("documents"))))
+    """Room left by the number of length buckets."""
+    return packing.fill_by_buckets(packing.document_lengths(t("documents")))
 
 
 @query("p7_mixture")

@@ -30,20 +30,33 @@ def test_buckets_have_least_padding(hist, buckets):
 @given(st.dictionaries(st.integers(1, 50), st.integers(1, 20), min_size=1, max_size=12))
 def test_patterns_use_up_the_counts_and_fit(hist):
     size = np.array(sorted(hist))
-    for planner in (packing.plan_patterns, packing.plan_inside):
+    counts = np.array([hist[s] for s in size.tolist()])
+    for buckets in (None, 1, 2, 5):
         used = Counter()
-        for pattern, times in planner(size, np.array([hist[s] for s in size.tolist()]), 50):
+        patterns, n = packing.plan_buckets(size, counts, 50, buckets)
+        bounds = packing.optimal_buckets(size, counts, n)
+        for pattern, times in patterns:
             assert sum(pattern) <= 50 and times > 0
+            assert len(set(np.searchsorted(bounds, pattern).tolist())) == 1  # a batch stays inside its bucket
             used.update({s: n * times for s, n in Counter(pattern).items()})
         assert used == Counter(hist)
 
 
-@pytest.mark.parametrize("planner", [packing.plan_patterns, packing.plan_inside])
+def test_number_of_buckets_is_the_one_that_leaves_least():
+    size, counts = np.array([2, 8, 30, 31, 49]), np.array([60, 20, 7, 9, 40])
+    need = {k: sum(n for _, n in packing.plan_buckets(size, counts, 50, k)[0]) for k in (1, 2, 4)}
+    patterns, chosen = packing.plan_buckets(size, counts, 50)
+    assert sum(n for _, n in patterns) == min(need.values())
+    assert packing.plan_buckets(np.array([25, 50]), np.array([4, 4]), 50)[1] == 2  # as little room, more buckets
+    assert packing.plan_buckets(np.array([], dtype=int), np.array([], dtype=int), 50) == ([], 0)
+
+
+@pytest.mark.parametrize("buckets", [None, 3])
 @pytest.mark.parametrize("group_rows", [7, 10_000])
-def test_every_token_is_in_one_container(spark, planner, group_rows):
+def test_every_token_is_in_one_container(spark, buckets, group_rows):
     rng = random.Random(3)
     rows = [(k, rng.choice([0, 3, 3, 3, 10, 40, 64, 65, 128, 300])) for k in range(400)] + [(5, 10), (5, 10), (None, 7)]
-    out = packing.pack(spark.createDataFrame(rows, "doc_id bigint, n_tokens bigint"), capacity=64, buckets=3, planner=planner, group_rows=group_rows).collect()
+    out = packing.pack(spark.createDataFrame(rows, "doc_id bigint, n_tokens bigint"), capacity=64, buckets=buckets, group_rows=group_rows).collect()
     per = defaultdict(int)
     for r in out:
         per[r["container_id"]] += r["n_tokens"]
@@ -67,6 +80,7 @@ def test_empty(spark):
     empty = packing.pack(spark.createDataFrame([(1, 0)], "doc_id bigint, n_tokens bigint"))
     assert empty.count() == 0
     assert packing.fill_report(empty).first()["n_containers"] == 0
+    assert packing.fill_by_buckets(spark.createDataFrame([(1, 0)], "doc_id bigint, n_tokens bigint")).count() == 0
 
 
 def test_lengths_of_dirty_texts(spark):
