@@ -1,7 +1,7 @@
 """Problem 2: parent-child links to full hierarchies, with cycles named.
 
 Method. Connected components of the links are found by alternating large-star and small-star steps, each cut by a reliable
-checkpoint. Components of up to ``component_rows`` links are co-located, one task per component, and walked by an iterative
+checkpoint. A hub, which has one row on the narrow side of a round's join, is split on the other side by adaptive execution. Components of up to ``component_rows`` links are co-located, one task per component, and walked by an iterative
 depth-first traversal with node colouring: grey nodes met again give the back edge that closes a cycle. Larger components, which
 may hold any share of the rows, are never collected into a task: there the walk is made by joins, doubling the distance that
 each node's pointer has jumped until it meets a root or has gone round its cycle.
@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrane.session import durable
+from terrane.session import durable, forget
 from terrane.streams import over_groups
 
 #: Components of more links than this are walked by joins instead of in one task.
@@ -44,11 +44,14 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         down = large.filter("u > v")
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        edges = durable(small.filter("u != v").distinct())
+        before, edges = edges, durable(small.filter("u != v").distinct())
+        forget(before)
         state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if tuple(state) == last:
             break
         last = tuple(state)
+    else:
+        raise RuntimeError(f"the components are not complete after {max_rounds} rounds")
     return selves.join(edges.select(F.col("u").alias("node"), F.col("v").alias("low")), "node", "left").select("node", F.coalesce("low", "node").alias("component"))
 
 
@@ -105,7 +108,10 @@ def _walk_groups(group: pd.DataFrame) -> Iterator[pd.DataFrame]:
 
 
 def _doubled(state: DataFrame, total: int, trails: bool, max_rounds: int = 63) -> DataFrame:
-    """Let every pointer of (node, up, done, low[, trail]) jump twice as far each round, until all are done or have jumped over ``total`` links."""
+    """Let every pointer of (node, up, done, low[, trail]) jump twice as far each round, until all are done or have jumped over ``total`` links.
+
+    ``state`` is checkpointed; its files are removed once the next round has its own.
+    """
     jump = 1
     for _ in range(max_rounds):
         if jump > total or not state.filter("not done").limit(1).count():
@@ -114,8 +120,11 @@ def _doubled(state: DataFrame, total: int, trails: bool, max_rounds: int = 63) -
         moved = state.filter("not done").join(ahead, "up").select(
             "node", F.col("up2").alias("up"), F.col("done2").alias("done"), F.least("low", "low2").alias("low"), *([F.concat("trail", "trail2").alias("trail")] if trails else [])
         )
-        state = durable(state.filter("done").unionByName(moved))
+        before, state = state, durable(state.filter("done").unionByName(moved))
+        forget(before)
         jump *= 2
+    else:
+        raise RuntimeError(f"the pointers are not at rest after {max_rounds} rounds")
     return state
 
 
@@ -168,8 +177,8 @@ def hierarchies(links: DataFrame, component_rows: int = COMPONENT_ROWS) -> DataF
 
 def descendants(tree: DataFrame) -> DataFrame:
     """(ancestor_id, descendant_id, distance) along the paths; nothing is grouped. See all_descendants for what lies on and below cycles."""
-    step = tree.filter("size(path) > 1").select("node_id", "path", F.posexplode(F.slice("path", F.lit(1), F.size("path") - 1)).alias("at", "ancestor_id"))
-    return step.select("ancestor_id", F.col("node_id").alias("descendant_id"), (F.size("path") - 1 - F.col("at")).alias("distance"))
+    step = tree.filter("size(path) > 1").select("node_id", F.size("path").alias("n"), F.posexplode(F.slice("path", F.lit(1), F.size("path") - 1)).alias("at", "ancestor_id"))
+    return step.select("ancestor_id", F.col("node_id").alias("descendant_id"), (F.col("n") - 1 - F.col("at")).alias("distance"))
 
 
 def ring_descendants(tree: DataFrame, links: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Problem 5: references to records that do not exist, were deleted, or came later.
 
-Method. The keys of the parent table fill a Bloom filter of bounded size, which is broadcast. References that it rejects are
+Method. The keys of the parent table fill a Bloom filter, which is broadcast up to a bounded size and divided into shards of bounded size
+beyond it, so that it tells as well with any number of parents. References that it rejects are
 definite orphans (``missing``) and never meet the parents; only the rest are verified by an exact join, from which deleted and late
 parents and the filter's false positives also come. Counts per table and period follow by aggregation.
 
@@ -30,14 +31,13 @@ def parent_states(versions: DataFrame) -> DataFrame:
     )
 
 
-def orphan_references(references: DataFrame, versions: DataFrame, parent_rows: int | None = None) -> DataFrame:
+def orphan_references(references: DataFrame, versions: DataFrame, parent_rows: int | None = None, max_words: int = bloom.MAX_WORDS) -> DataFrame:
     """(from_id, ref_id, loaded_at, edited_at, reason) of the references (from_id, ref_id, loaded_at, edited_at) that fail.
 
     ``parent_rows`` is an upper estimate of the parent rows; it only sizes the filter.
     """
-    words = bloom.words_for(versions.count() if parent_rows is None else parent_rows)
-    filter_row = bloom.build(versions.select("id"), "id", words)
-    marked = references.filter("ref_id is not null").withColumn("maybe", bloom.may_contain(F.col("ref_id"), filter_row.scalar(), words))
+    n_keys = versions.count() if parent_rows is None else parent_rows
+    marked = bloom.marked(references.filter("ref_id is not null"), "ref_id", versions.select("id"), "id", n_keys, max_words)
     columns = ["from_id", "ref_id", "loaded_at", "edited_at"]
     definite = marked.filter(~F.col("maybe")).select(*columns, F.lit("missing").alias("reason"))
     checked = (

@@ -10,7 +10,7 @@ Skew. A file or dataset that holds a third of all rows is never grouped in one t
 the rows, and values are matched by (file, feature). Only lists of files, not of rows, are ordered within a dataset.
 
 Defined results for dirty input: records that are not a JSON object have no fields; null values do not exist; a key written twice
-in one object counts by its last value; a row or file delivered several times counts once; a file without readable rows has no
+in one object counts by its last value; a row or file delivered several times counts once, a row without a key each time; a file without readable rows has no
 fields; ties of type counts go to the type named first in ``TYPES``; the files of a dataset are ordered by published_at (null
 first), then file_id; empty tables give an empty result; extra columns are ignored.
 """
@@ -20,6 +20,7 @@ from __future__ import annotations
 import json
 from collections import Counter
 from collections.abc import Iterator
+from decimal import Decimal, InvalidOperation
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -57,9 +58,56 @@ def type_of(value) -> str:
     return {_Whole: "integer", _Fraction: "decimal", str: "string", bool: "boolean", list: "list", dict: "object"}[kind]
 
 
-def text_of(value) -> str:
-    """Numbers and strings by their text; the rest as JSON with sorted keys."""
-    return str(value) if isinstance(value, str) else json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+def text_of(value, ordered: bool = True) -> str:
+    """Numbers and strings by their text; the rest as JSON, with the keys in order if ``ordered``."""
+    return str(value) if isinstance(value, str) else _json(value, ordered)
+
+
+def _json(value, ordered: bool, number=str) -> str:
+    """Compact JSON; numbers as ``number`` spells them."""
+    kind = type(value)
+    if kind is _Whole or kind is _Fraction:
+        return number(value) or str(value)
+    if kind is dict:
+        items = sorted(value.items()) if ordered else value.items()
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{_json(v, ordered, number)}" for k, v in items) + "}"
+    if kind is list:
+        return "[" + ",".join(_json(v, ordered, number) for v in value) + "]"
+    return json.dumps(value, ensure_ascii=False)
+
+
+#: Numbers with more digits before or after the point are spelled with an exponent.
+PLAIN_DIGITS = 400
+
+
+def exact_number(text: str) -> str | None:
+    """The one spelling of a number, exact: no exponent, no needless zero or sign. None for what is no number (NaN, Infinity)."""
+    try:
+        sign, digits, exponent = Decimal(text).as_tuple()
+    except InvalidOperation:
+        return None
+    if not isinstance(exponent, int):
+        return None
+    shown = "".join(map(str, digits)).lstrip("0")
+    bare = shown.rstrip("0")
+    exponent += len(shown) - len(bare)
+    if not bare:
+        return "0"
+    minus = "-" if sign else ""
+    if exponent > PLAIN_DIGITS or exponent < -PLAIN_DIGITS:
+        return f"{minus}{bare}E{exponent}"
+    if exponent >= 0:
+        return minus + bare + "0" * exponent
+    padded = bare.rjust(1 - exponent, "0")
+    return f"{minus}{padded[:exponent]}.{padded[exponent:]}"
+
+
+def canonical_of(value) -> str | None:
+    """The one spelling of a value: exact numbers, JSON with sorted keys."""
+    kind = type(value)
+    if kind is _Whole or kind is _Fraction:
+        return exact_number(value)
+    return value if kind is str else _json(value, True, exact_number)
 
 
 def alternatives(value, path: str) -> Iterator[tuple[str, str]]:
@@ -76,7 +124,8 @@ def alternatives(value, path: str) -> Iterator[tuple[str, str]]:
 
 
 def distinct_rows(rows: DataFrame) -> DataFrame:
-    return rows.select("row_id", "file_id", "feature_id", "record").filter("row_id is not null").dropDuplicates(["row_id"])
+    own = F.when(F.col("row_id").isNull(), F.monotonically_increasing_id())  # a row without a key has no copies
+    return rows.select("row_id", "file_id", "feature_id", "record", own.alias("_own")).dropDuplicates(["row_id", "_own"]).drop("_own")
 
 
 def ordered_files(files: DataFrame) -> DataFrame:
@@ -224,9 +273,12 @@ def lineage(files: DataFrame, changes: DataFrame) -> DataFrame:
 def consistent_table(files: DataFrame, rows: DataFrame, changes: DataFrame | None = None) -> DataFrame:
     """All values of all files under one schema, one row per (file, feature, field).
 
-    ``field_name`` is the field's first name in the dataset. ``type_tag`` says which of the typed branches (v_string, v_boolean,
-    v_integer, v_decimal, v_json) holds the value as it was written. ``canonical_type`` is the one type all alternatives of the field
-    in its dataset convert to (integer and decimal to decimal, other mixtures to string), ``canonical`` the converted value as text.
+    ``field_name`` is the field's first name in the dataset. ``type_tag`` says which of the typed branches holds the value as it was
+    written: v_string, v_boolean, v_integer, v_big_integer (the text of what is beyond 64 bits), v_decimal (the nearest double), v_json.
+    ``canonical_type`` is the one type all alternatives of the field in its dataset convert to (integer and decimal to decimal, other
+    mixtures to string), ``canonical`` the converted value as text, exact and in one spelling. ``conversion`` is ``kept``, ``converted`` from
+    another type, or ``failed`` (NaN and Infinity have no canonical value). Rows whose file is null, unknown or without a dataset
+    keep their field's name and stand under the dataset they have, or null.
     """
     distinct = distinct_rows(rows)
     changes = durable(field_changes(files, rows)) if changes is None else changes
@@ -234,16 +286,16 @@ def consistent_table(files: DataFrame, rows: DataFrame, changes: DataFrame | Non
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = [
-                (f, r, i, key, type_of(value), text_of(value))
-                for f, r, i, record in zip(frame["file_id"], frame["row_id"], frame["feature_id"], frame["record"])
+                (f, i, key, type_of(value), text_of(value, False), canonical_of(value))
+                for f, i, record in zip(frame["file_id"], frame["feature_id"], frame["record"])
                 for key, value in read_record(record).items()
                 if value is not None and key != "id"
             ]
             if out:
-                yield pd.DataFrame(out, columns=["file_id", "row_id", "feature_id", "field", "type_tag", "text"])
+                yield pd.DataFrame(out, columns=["file_id", "feature_id", "field", "type_tag", "text", "canonical"]).astype({"file_id": "Int64", "feature_id": "Int64"})
 
-    whole = distinct.filter("file_id is not null and feature_id is not null").select("file_id", "row_id", "feature_id", "record")
-    values = whole.mapInPandas(read, "file_id bigint, row_id bigint, feature_id bigint, field string, type_tag string, text string")
+    whole = distinct.select("file_id", "feature_id", "record")
+    values = whole.mapInPandas(read, "file_id bigint, feature_id bigint, field string, type_tag string, text string, canonical string")
     # the names and types of all files are joined to the values, per (file, field); the values themselves are not shuffled by a skewed key
     names = lineage(files, changes)
     placed = fused_schemas(distinct, nested=False).join(ordered_files(files).select("file_id", "dataset"), "file_id").withColumnRenamed("path", "field").join(names, ["file_id", "field"], "left").withColumn("field_name", F.coalesce("origin", "field"))
@@ -251,10 +303,15 @@ def consistent_table(files: DataFrame, rows: DataFrame, changes: DataFrame | Non
     kinds = placed.groupBy("dataset", "field_name").agg(F.collect_set("type").alias("kinds"))
     numbers = F.array(F.lit("integer"), F.lit("decimal"))
     canonical = F.when(F.size("kinds") == 1, F.get("kinds", F.lit(0))).when(F.size(F.array_except("kinds", numbers)) == 0, "decimal").otherwise("string")
-    known = placed.select("file_id", "field", "dataset", "field_name").distinct().join(kinds.select("dataset", "field_name", canonical.alias("canonical_type")), ["dataset", "field_name"])
+    of_kind = kinds.select(F.col("dataset").alias("d"), F.col("field_name").alias("f"), canonical.alias("canonical_type"))
+    each = placed.select("file_id", "field", "dataset", "field_name").distinct()
+    known = each.join(of_kind, F.col("dataset").eqNullSafe(F.col("d")) & (F.col("field_name") == F.col("f"))).drop("d", "f")
     branch = lambda name, kind: F.when(F.col("type_tag") == name, F.col("text").try_cast(kind)).alias("v_" + name)
-    return values.join(known, ["file_id", "field"]).select(
-        "dataset", "file_id", "feature_id", "field_name", F.col("field").alias("source_field"), "type_tag",
-        branch("string", "string"), branch("boolean", "boolean"), branch("integer", "bigint"), branch("decimal", "double"),
-        F.when(F.col("type_tag").isin("list", "object"), F.col("text")).alias("v_json"), "canonical_type", F.col("text").alias("canonical"),
+    kind = F.coalesce("canonical_type", "type_tag")
+    return values.join(known, ["file_id", "field"], "left").select(
+        "dataset", "file_id", "feature_id", F.coalesce("field_name", "field").alias("field_name"), F.col("field").alias("source_field"), "type_tag",
+        branch("string", "string"), branch("boolean", "boolean"), branch("integer", "bigint"),
+        F.when((F.col("type_tag") == "integer") & F.col("text").try_cast("bigint").isNull(), F.col("text")).alias("v_big_integer"), branch("decimal", "double"),
+        F.when(F.col("type_tag").isin("list", "object"), F.col("text")).alias("v_json"), kind.alias("canonical_type"), "canonical",
+        F.when(F.col("canonical").isNull(), "failed").when(F.col("type_tag") == kind, "kept").otherwise("converted").alias("conversion"),
     )

@@ -46,6 +46,8 @@ SELECT start AS node_id, CASE WHEN closed THEN list_min(ring) ELSE cur END AS ro
   CASE WHEN closed THEN '' ELSE array_to_string(seen, '/') END AS node_path FROM told
 """
 
+SQL_DESCENDANTS = SQL_HIERARCHY[: SQL_HIERARCHY.index("ended AS")].rstrip().rstrip(",") + " SELECT cur AS ancestor_id, start AS descendant_id, CAST(steps AS INTEGER) AS distance FROM up WHERE steps > 0 AND (NOT closed OR cur = start)"
+
 SQL_CHANGES = r"""
 WITH files AS (SELECT file_id, arg_min(struct_pack(d := dataset, p := published_at, v := version, c := primary_column, e := lower(encoding), g := list_sort(list_distinct(coalesce(geometry_types, [])))), loaded_at) AS f FROM geo_files GROUP BY file_id),
 ordered AS (SELECT file_id, f.v AS v, f.c AS c, f.e AS e, f.g AS g, lag(file_id) OVER w AS former, lag(f.v) OVER w AS v0, lag(f.e) OVER w AS e0, lag(f.g) OVER w AS g0 FROM files WINDOW w AS (PARTITION BY f.d ORDER BY f.p NULLS FIRST, file_id)),
@@ -74,6 +76,39 @@ UNION ALL SELECT file_id, 'encoding', coalesce(c, ''), '' FROM later WHERE e IS
 UNION ALL SELECT file_id, 'geometry_types', coalesce(c, ''), '' FROM later WHERE g IS DISTINCT FROM g0
 """
 
+SQL_TABLE = SQL_CHANGES[: SQL_CHANGES.rindex("SELECT file_id, 'added'")].replace("WITH files", "WITH RECURSIVE files") + r""",
+event AS (SELECT file_id, 'added' AS kind, field AS field_name, '' AS old_name FROM fresh WHERE (file_id, field) NOT IN (SELECT (file_id, new_name) FROM ren) UNION ALL SELECT file_id, 'renamed', new_name, old_name FROM ren),
+placed AS (SELECT file_id, f.d AS dataset, row_number() OVER (PARTITION BY f.d ORDER BY f.p NULLS FIRST, file_id) AS place FROM files),
+touched AS (SELECT dataset, place, field_name AS name, CASE kind WHEN 'renamed' THEN old_name END AS came_from FROM event JOIN placed USING (file_id)
+  UNION ALL SELECT dataset, place, old_name, NULL FROM event JOIN placed USING (file_id) WHERE kind = 'renamed'),
+seen AS (SELECT DISTINCT c.file_id, c.field, p.dataset, p.place FROM counted c JOIN placed p USING (file_id)),
+back AS (SELECT file_id, field, dataset, place, field AS name FROM seen
+  UNION ALL SELECT file_id, field, dataset, place, name FROM (SELECT b.file_id, b.field, b.dataset, t.place - 1 AS place, t.came_from AS name, t.place AS event_place, max(t.place) OVER w AS latest
+    FROM back b JOIN touched t ON t.dataset = b.dataset AND t.name = b.name AND t.place <= b.place WINDOW w AS (PARTITION BY b.file_id, b.field)) x WHERE event_place = latest AND name IS NOT NULL),
+origin AS (SELECT file_id, field, any_value(dataset) AS dataset, arg_min(name, place) AS field_name FROM back GROUP BY ALL),
+kinds AS (SELECT dataset, field_name, list(DISTINCT type) AS k FROM counted JOIN origin USING (file_id, field) GROUP BY ALL),
+canon AS (SELECT dataset, field_name, CASE WHEN len(k) = 1 THEN k[1] WHEN list_has_all(['integer', 'decimal'], k) THEN 'decimal' ELSE 'string' END AS canonical_type FROM kinds),
+raw AS (SELECT v.file_id, v.feature_id, v.field, v.type, substr(v.text, 2) AS text FROM vals v)
+SELECT o.dataset, r.file_id, r.feature_id, o.field_name, r.field AS source_field, r.type AS type_tag, CASE WHEN r.type = 'string' THEN text END AS v_string, CASE WHEN r.type = 'boolean' THEN CAST(text AS BOOLEAN) END AS v_boolean,
+  CASE WHEN r.type = 'integer' THEN TRY_CAST(text AS BIGINT) END AS v_integer, CASE WHEN r.type = 'integer' AND TRY_CAST(text AS BIGINT) IS NULL THEN text END AS v_big_integer, CASE WHEN r.type = 'decimal' THEN CAST(text AS DOUBLE) END AS v_decimal,
+  CASE WHEN r.type IN ('list', 'object') THEN text END AS v_json, canonical_type,
+  CASE r.type WHEN 'decimal' THEN regexp_replace(regexp_replace(text, '(\.[0-9]*?)0+$', '\1'), '\.$', '')
+    WHEN 'object' THEN '{' || (SELECT string_agg('"' || key || '":' || CAST(value AS VARCHAR), ',' ORDER BY key) FROM json_each(CASE WHEN r.type = 'object' THEN text END)) || '}' ELSE text END AS canonical,
+  CASE WHEN r.type = canonical_type THEN 'kept' ELSE 'converted' END AS conversion
+FROM raw r JOIN origin o ON o.file_id = r.file_id AND o.field = r.field JOIN canon c ON c.dataset = o.dataset AND c.field_name = o.field_name
+"""
+
+SQL_ALTERNATIVES = r"""
+WITH files AS (SELECT file_id, arg_min(struct_pack(d := dataset, p := published_at), loaded_at) AS f FROM geo_files GROUP BY file_id),
+placed AS (SELECT file_id, f.d AS dataset, row_number() OVER (PARTITION BY f.d ORDER BY f.p NULLS FIRST, file_id) AS place FROM files),
+rows1 AS (SELECT row_id, any_value(file_id) AS file_id, any_value(record) AS record FROM file_rows GROUP BY row_id),
+tree AS (SELECT file_id, regexp_replace(regexp_replace(regexp_replace(fullkey, '\[[0-9]+\]', '[]', 'g'), '"', '', 'g'), '^\$\.', '') AS path,
+  CASE type WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'list' WHEN 'OBJECT' THEN 'object' WHEN 'DOUBLE' THEN 'decimal' ELSE 'integer' END AS type
+  FROM rows1, json_tree(record) WHERE fullkey != '$' AND type != 'NULL' AND fullkey != '$.id' AND fullkey NOT LIKE '$.id.%' AND fullkey NOT LIKE '$.id[%'),
+fused AS (SELECT file_id, path, type, count(*) AS n FROM tree GROUP BY ALL)
+SELECT dataset, path, type, arg_min(file_id, place) AS file_id, count(*) AS n_files, CAST(sum(n) AS BIGINT) AS n_values FROM fused JOIN placed USING (file_id) GROUP BY ALL
+"""
+
 SQL_JUDGED = r"""
 WITH nodes AS (SELECT id, NOT coalesce(max_by(visible, version), TRUE) AS gone, min(loaded_at) AS first_loaded FROM osm_nodes GROUP BY id),
 rels AS (SELECT id, NOT coalesce(max_by(visible, version), TRUE) AS gone, min(loaded_at) AS first_loaded FROM osm_relations GROUP BY id),
@@ -109,7 +144,7 @@ def p2_found(t: Tables):
     return rows.select("node_id", "root_id", "depth", "standing", path.alias("node_path"))
 
 
-@query("p2_descendants")
+@query("p2_descendants", SQL_DESCENDANTS)
 def p2_descendants(t: Tables):
     return hierarchy.all_descendants(_subareas(t))
 
@@ -119,12 +154,12 @@ def p3_found(t: Tables):
     return schemadrift.all_changes(t("geo_files"), t("file_rows"))
 
 
-@query("p3_table")
+@query("p3_table", SQL_TABLE)
 def p3_table(t: Tables):
     return schemadrift.consistent_table(t("geo_files"), t("file_rows"))
 
 
-@query("p3_alternatives")
+@query("p3_alternatives", SQL_ALTERNATIVES)
 def p3_alternatives(t: Tables):
     return schemadrift.appearing_alternatives(t("geo_files"), t("file_rows"))
 

@@ -48,6 +48,14 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def forget(df: DataFrame) -> None:
+    """Remove the files of a frame made by ``durable`` that nothing will read any more."""
+    named = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if named.isDefined():
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(named.get())
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 _shipped: set[str] = set()
 
 

@@ -93,3 +93,18 @@ def test_all_descendants_with_cycles(spark, limit):
 def test_empty(spark):
     assert hierarchy.all_descendants(spark.createDataFrame([(None, 1, "")], SCHEMA)).count() == 0
     assert hierarchy.hierarchies(spark.createDataFrame([(None, 1, "")], SCHEMA)).count() == 0
+
+
+def test_unfinished_rounds_are_an_error_and_old_rounds_are_removed(spark):
+    import os
+
+    from terrane.session import checkpoint_dir
+
+    links = spark.createDataFrame([(k, k + 1, "") for k in range(64)], SCHEMA).select("parent", "child")
+    with pytest.raises(RuntimeError):
+        hierarchy.components(links, max_rounds=1)
+    folder = checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    assert {r["component"] for r in hierarchy.components(links).collect()} == {0}
+    left = set(os.listdir(folder)) - before
+    assert len(left) <= 1

@@ -18,7 +18,15 @@ def test_bloom_has_no_false_negatives_and_few_false_positives(spark, words):
     assert all(rows[k] for k in range(0, 900, 3))
     if words == 256:
         assert sum(rows[k] for k in rows if k % 3) < 60
-    assert bloom.words_for(10) == 256 and bloom.words_for(10**12) == bloom.MAX_WORDS
+    assert bloom.words_for(10) == 256 and bloom.words_for(10**9) * bloom.KEYS_PER_WORD >= 10**9
+
+
+@pytest.mark.parametrize("max_words,shard_words", [(1 << 20, 32), (1, 32), (1, 256)])
+def test_filter_beyond_the_broadcast_limit_tells_as_well(spark, max_words, shard_words):
+    keys = spark.range(0, 900, 3).withColumnRenamed("id", "k").unionByName(spark.createDataFrame([(None,)], "k bigint"))
+    rows = {r["id"]: r["maybe"] for r in bloom.marked(spark.range(1000), "id", keys, "k", 300, max_words, shard_words).collect()}
+    assert len(rows) == 1000 and all(rows[k] for k in range(0, 900, 3))
+    assert sum(rows[k] for k in rows if k % 3) < 60
 
 
 def test_reasons(spark):
@@ -26,8 +34,8 @@ def test_reasons(spark):
     ways = [(10, [1, 2, 2, 3, 4, None, 99], T[5], T[4]), (10, [1, 2, 2, 3, 4, None, 99], T[8], T[4]), (11, [], T[5], None), (12, None, T[5], None), (13, [5, 6, 7, 99], T[5], None), (None, [99], T[5], None)]
     versions = spark.createDataFrame([(*n, "clash") for n in nodes], NODES)
     refs = orphans.way_references(spark.createDataFrame(ways, "id bigint, node_ids array<bigint>, loaded_at timestamp, edited_at timestamp"))
-    for parent_rows in (None, 1):
-        got = sorted((r["from_id"], r["ref_id"], r["reason"]) for r in orphans.orphan_references(refs, versions, parent_rows).collect())
+    for parent_rows, max_words in ((None, 1 << 20), (1, 1 << 20), (None, 1)):
+        got = sorted((r["from_id"], r["ref_id"], r["reason"]) for r in orphans.orphan_references(refs, versions, parent_rows, max_words).collect())
         assert got == [(10, 2, "deleted"), (10, 4, "late"), (10, 99, "missing"), (13, 99, "missing")]
 
 
