@@ -40,18 +40,28 @@ def null_if_empty(text: Column) -> Column:
     return F.nullif(text, F.lit(""))
 
 
+# fixed values: what brackets may hold when they count as empty (space to full stop), and what is cut off both ends
+_FILLING = "".join(map(chr, range(0x20, 0x2F)))
+_EDGES = " \t\n\r\f\v./-"
+
+
+def _without(text: Column, letters: str) -> Column:
+    return F.regexp_replace(text, letters, "")
+
+
 def only_latin(text: Column) -> Column:
     """Whether all letters are Latin ones; other characters do not matter, an empty or null text is not."""
-    return F.coalesce(text.rlike(r"^(?:\P{L}|\p{IsLatin})+$"), F.lit(False))
+    foreign = _without(_without(text, r"\P{L}"), r"\p{IsLatin}")
+    return F.coalesce((foreign == "") & (text != ""), F.lit(False))
 
 
 def without_latin(text: Column) -> Column:
     """The name without Latin letters and the brackets and dashes left over; null if nothing stays."""
-    bare = F.regexp_replace(text, r"[\p{L}&&\p{IsLatin}]+", "")
-    bare = F.regexp_replace(bare, r"\([ -.]*\)|\[[ -.]*\]", "")
-    bare = F.regexp_replace(bare, r"^[\s./-]*|[\s./-]*$", "")
-    bare = F.trim(F.regexp_replace(bare, r"\s+", " "))
-    return F.when(text.rlike(r"[\p{L}&&\p{IsLatin}]"), F.nullif(bare, F.lit(""))).otherwise(F.trim(text))
+    left = _without(text, r"(?=\p{L})\p{IsLatin}")
+    for opening, closing in ("()", "[]"):
+        left = _without(left, f"{_quoted(opening)}[{_quoted(_FILLING)}]*{_quoted(closing)}")
+    words = F.filter(F.split(F.btrim(left, F.lit(_EDGES)), r"\s+"), lambda w: w != "")
+    return F.when(left == text, F.trim(text)).otherwise(F.nullif(F.array_join(words, " "), F.lit("")))
 
 
 def language_tag(text: Column) -> Column:

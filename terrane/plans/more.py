@@ -122,7 +122,11 @@ def str05(t: Tables):
     return t("layer_attrs").filter("attr_id is not null").dropDuplicates(["attr_id", "string_value"]).select("attr_id", text.null_if_empty(F.col("string_value")).alias("v"))
 
 
-@query("str07_without_latin", r"SELECT s, CASE WHEN regexp_matches(s, '\p{Latin}') THEN nullif(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, '\p{Latin}+', '', 'g'), '\([ -.]*\)|\[[ -.]*\]', '', 'g'), '^[\s./-]*|[\s./-]*$', '', 'g'), '\s+', ' ', 'g')), '') ELSE trim(s) END AS v FROM (SELECT DISTINCT string_value || ' (Café)' AS s FROM layer_attrs WHERE string_value <> '') q")
+@query(
+    "str07_without_latin",
+    r"""SELECT s, nullif(array_to_string(list_filter(string_split(translate(trim(replace(replace(replace(plain, '()', ''), '( )', ''), '(  )', ''), ' ./-'), chr(9), ' '), ' '), lambda w: w <> ''), ' '), '') AS v
+FROM (SELECT s, array_to_string(list_filter(string_split(replace(s, ' (Café)', ''), ''), lambda c: NOT regexp_matches(c, '\p{Latin}')), '') AS plain FROM (SELECT DISTINCT string_value || ' (Café)' AS s FROM layer_attrs WHERE string_value <> '') q) x""",
+)
 def str07(t: Tables):
     made = t("layer_attrs").filter("string_value != ''").select(F.concat("string_value", F.lit(" (Café)")).alias("s")).distinct()
     return made.select("s", text.without_latin(F.col("s")).alias("v"))

@@ -156,7 +156,7 @@ def prs01(t: Tables):
 
 @query(
     "prs03_prefixes",
-    f"SELECT event_id, TRY_CAST(nullif(regexp_extract(s, '^(-?[0-9]+)([^0-9]|$)', 1), '') AS INTEGER) AS prefix, CAST(floor(CAST(TRY_CAST(nullif(regexp_extract(s, '^(-?[0-9.]+)([^0-9]|$)', 1), '') AS FLOAT) AS DOUBLE) + 0.5) AS INTEGER) AS rounded FROM ({SPELLED}) q",
+    f"SELECT event_id, TRY_CAST(nullif(regexp_extract(s, '^-?[0-9]+'), '') AS INTEGER) AS prefix, CAST(floor(CAST(TRY_CAST(nullif(regexp_extract(s, '^-?[0-9.]+'), '') AS FLOAT) AS DOUBLE) + 0.5) AS INTEGER) AS rounded FROM ({SPELLED}) q",
 )
 def prs03(t: Tables):
     return spelled(t).select("event_id", parse.int_prefix(F.col("s")).alias("prefix"), parse.rounded_int(F.col("s")).alias("rounded"))
@@ -183,14 +183,11 @@ def prs07(t: Tables):
     return t("events").select("event_id", with_rail.alias("tags")).select("event_id", parse.road_order(F.col("tags")).alias("road_order"))
 
 
-DIST = "(-?[0-9.]+)\\s*(?:(mi)|(m|$)|(km|kilom)|(ft|'')|(in|\")|(nmi|international nautical mile|nautical))"
-
-
 @query(
     "prs08_metres",
-    f"""SELECT event_id, round(CASE WHEN s IS NULL OR NOT regexp_matches(s, '(?i){DIST}') THEN NULL WHEN regexp_extract(s, '(?i){DIST}', 2) <> '' THEN v * 1609.344 WHEN regexp_extract(s, '(?i){DIST}', 4) <> '' THEN v * 1000
- WHEN regexp_extract(s, '(?i){DIST}', 5) <> '' THEN v * 12 * 0.0254 + coalesce(TRY_CAST(regexp_extract(s, '''[^0-9]*([0-9.]+)"', 1) AS DOUBLE), 0) * 0.0254 WHEN regexp_extract(s, '(?i){DIST}', 6) <> '' THEN v * 0.0254 ELSE v END, 6) AS metres
- FROM (SELECT *, TRY_CAST(regexp_extract(s, '(?i){DIST}', 1) AS DOUBLE) AS v FROM ({SPELLED}) q) r""",
+    """SELECT event_id, round(CASE CAST(event_id % 16 AS INTEGER) WHEN 0 THEN v WHEN 1 THEN v * 1000 WHEN 2 THEN v WHEN 3 THEN v * 1609.344 WHEN 4 THEN i * 0.3048 + 0.1524 WHEN 5 THEN i * 0.3048 WHEN 6 THEN i * 0.0254 WHEN 7 THEN i
+ WHEN 8 THEN -v WHEN 9 THEN i WHEN 13 THEN -1 WHEN 15 THEN event_id % 1000 END, 6) AS metres
+ FROM (SELECT event_id, CAST(round(value * 100) AS BIGINT) / 100.0 AS v, CAST(CAST(round(value * 100) AS BIGINT) // 100 AS DOUBLE) AS i FROM events) e""",
 )
 def prs08(t: Tables):
     return spelled(t).select("event_id", F.round(parse.metres(F.col("s")), 6).alias("metres"))
@@ -242,8 +239,9 @@ LATIN = "a-zA-Zªºµ\\x{00C0}-\\x{00D6}\\x{00D8}-\\x{00F6}\\x{00F8}-\\x{024F}"
 @query(
     "str06_latin",
     r"""WITH v AS (SELECT DISTINCT string_value AS s FROM layer_attrs WHERE string_value IS NOT NULL AND string_value <> '')
-SELECT s, regexp_matches(s, '^(?:\P{L}|\p{Latin})+$') AS only_latin,
- CASE WHEN regexp_matches(s, '\p{Latin}') THEN nullif(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, '\p{Latin}+', '', 'g'), '\([ -.]*\)|\[[ -.]*\]', '', 'g'), '^[\s./-]*|[\s./-]*$', '', 'g'), '\s+', ' ', 'g')), '') ELSE trim(s) END AS rest FROM v""",
+SELECT s, len(list_filter(string_split(s, ''), lambda c: regexp_matches(c, '\p{L}') AND NOT regexp_matches(c, '\p{Latin}'))) = 0 AS only_latin,
+ CASE WHEN plain = s THEN trim(s) ELSE nullif(array_to_string(list_filter(string_split(translate(trim(replace(replace(replace(plain, '()', ''), '( )', ''), '(  )', ''), ' ./-'), chr(9), ' '), ' '), lambda w: w <> ''), ' '), '') END AS rest
+FROM (SELECT s, array_to_string(list_filter(string_split(s, ''), lambda c: NOT regexp_matches(c, '\p{Latin}')), '') AS plain FROM v) x""",
 )
 def str06(t: Tables):
     values = t("layer_attrs").filter("string_value is not null and string_value != ''").select(F.col("string_value").alias("s")).distinct()
