@@ -114,7 +114,7 @@ def metres_per_pixel(zoom: Column) -> Column:
 
 def haversine_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     h = F.pow(F.sin(F.radians(lat2 - lat1) / 2), F.lit(2)) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), F.lit(2))
-    return F.asin(F.sqrt(F.least(F.lit(1.0), h))) * (2 * EARTH_RADIUS_M)
+    return F.asin(F.sqrt(F.when(h > 1, 1.0).otherwise(h))) * (2 * EARTH_RADIUS_M)  # null where a coordinate is
 
 
 def zoom_of_bounds(minx: Column, miny: Column, maxx: Column, maxy: Column) -> Column:

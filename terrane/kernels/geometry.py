@@ -92,10 +92,11 @@ def boundary_distance(polygon: Polygon, x: float, y: float) -> float:
 def innermost_point(polygon: Polygon, tolerance: float = 0.1) -> np.ndarray:
     """The point farthest inside, to within tolerance * sqrt(area): cells are split best first."""
     low, high = polygon[0].min(axis=0), polygon[0].max(axis=0)
-    size = float(min(high - low))
-    if size == 0:
+    long_side = float(max(high - low))
+    size = max(float(min(high - low)), long_side / 64)  # a thin shape starts with few cells too
+    if min(high - low) == 0:
         return low
-    precision = tolerance * np.sqrt(max(area(polygon), 0.0))
+    precision = max(tolerance * np.sqrt(max(area(polygon), 0.0)), long_side * 1e-3)  # a shape without area has an end as well
     half = size / 2
     heap: list[tuple[float, float, float, float, float]] = []
 
@@ -317,15 +318,82 @@ def clip_polygon(polygon: Polygon, x0: float, y0: float, x1: float, y1: float) -
     return out
 
 
+def slice_line(line: Line, zoom: int, buffer: float = 4.0, extents: tuple[int, int, int, int] | None = None) -> list[tuple[int, int, list[Line], bool]]:
+    """(column, row, stretches in tile pixels, False) for every tile whose buffered square a line in world coordinates meets.
+
+    All segments are cut by all columns that they cross and by all rows that they cross there in one go; stretches that
+    follow each other in a tile are joined.
+    """
+    n, b = 1 << zoom, buffer / 256.0
+    p = np.asarray(line, dtype=float) * n
+    if len(p) < 2:
+        return []
+    a, d = p[:-1], np.diff(p, axis=0)
+
+    def spans(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which row, and which whole number from floor(low - b) to floor(high + b) of it."""
+        first = np.floor(low - b).astype(np.int64)
+        times = np.maximum(np.floor(high + b).astype(np.int64) - first + 1, 0)
+        which = np.repeat(np.arange(len(first)), times)
+        return which, first[which] + np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
+
+    def window(start: np.ndarray, step: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The stretch of 0..1 over which start + t * step is in the buffered cell."""
+        with np.errstate(divide="ignore", invalid="ignore"):
+            u, v = (cell - b - start) / step, (cell + 1 + b - start) / step
+        t0, t1 = np.minimum(u, v), np.maximum(u, v)
+        still = step == 0
+        inside = (start >= cell - b) & (start <= cell + 1 + b)
+        t0[still], t1[still] = np.where(inside[still], 0.0, 2.0), np.where(inside[still], 1.0, -1.0)
+        return np.maximum(t0, 0.0), np.minimum(t1, 1.0)
+
+    seg, column = spans(np.minimum(p[:-1, 0], p[1:, 0]), np.maximum(p[:-1, 0], p[1:, 0]))
+    t0, t1 = window(a[seg, 0], d[seg, 0], column)
+    y0, y1 = a[seg, 1] + t0 * d[seg, 1], a[seg, 1] + t1 * d[seg, 1]
+    which, row = spans(np.where(t0 <= t1, np.minimum(y0, y1), 1.0), np.where(t0 <= t1, np.maximum(y0, y1), -1.0 - 2 * b))
+    x_low, y_low, x_high, y_high = extents or (0, 0, n, n)
+    wrapped = column % n
+    fits = (row >= max(0, y_low)) & (row < min(n, y_high)) & (wrapped[which] >= x_low) & (wrapped[which] < x_high)
+    which, row = which[fits], row[fits]
+    seg, column, t0, t1 = seg[which], column[which], t0[which], t1[which]
+    s0, s1 = window(a[seg, 1], d[seg, 1], row)
+    t0, t1 = np.maximum(t0, s0), np.minimum(t1, s1)
+    keep = t0 < t1
+    seg, column, row, t0, t1 = seg[keep], column[keep], row[keep], t0[keep], t1[keep]
+    if not len(seg):
+        return []
+    order = np.lexsort((seg, row, column))
+    seg, column, row, t0, t1 = seg[order], column[order], row[order], t0[order], t1[order]
+    new_tile = np.ones(len(seg), dtype=bool)
+    new_tile[1:] = (column[1:] != column[:-1]) | (row[1:] != row[:-1])
+    opens = new_tile.copy()
+    opens[1:] |= (seg[1:] != seg[:-1] + 1) | (t1[:-1] < 1) | (t0[1:] > 0)
+    corner = np.stack([column, row], axis=1)
+    starts = np.where((t0 == 0)[:, None], a[seg], a[seg] + t0[:, None] * d[seg])
+    ends = np.where((t1 == 1)[:, None], p[seg + 1], a[seg] + t1[:, None] * d[seg])
+    starts, ends = (starts - corner) * 256, (ends - corner) * 256
+    out: list[tuple[int, int, list[Line], bool]] = []
+    bounds = np.append(np.flatnonzero(opens), len(seg)).tolist()
+    for low, high in zip(bounds, bounds[1:]):
+        stretch = np.concatenate([starts[low : low + 1], ends[low:high]])
+        if new_tile[low]:
+            out.append((int(column[low]) % n, int(row[low]), [stretch], False))
+        else:
+            out[-1][2].append(stretch)
+    return out
+
+
 def slice_to_tiles(kind: str, shape, zoom: int, buffer: float = 4.0, extents: tuple[int, int, int, int] | None = None) -> list[tuple[int, int, object, bool]]:
     """(column, row, shape in tile pixels, filled) for every tile that a line or polygon in world coordinates meets.
 
-    The shape is cut into column strips first and each strip into rows, so every point is visited about once per strip and not once
+    A polygon is cut into column strips first and each strip into rows, so every point is visited about once per strip and not once
     per tile. Tiles wholly inside a polygon are told as filled, without cutting. Columns wrap around the antimeridian.
     """
+    if kind == "line":
+        return slice_line(shape, zoom, buffer, extents)
     n = 1 << zoom
     b = buffer / 256.0
-    lines = [np.asarray(shape, dtype=float) * n] if kind == "line" else [closed(r) * n for r in shape]
+    lines = [closed(r) * n for r in shape]
     low, high = lines[0].min(axis=0), lines[0].max(axis=0)
     first_row, last_row = max(0, int(np.floor(low[1] - b))), min(n - 1, int(np.floor(high[1] + b)))
     x_low, y_low, x_high, y_high = extents or (0, 0, n, n)
@@ -334,21 +402,9 @@ def slice_to_tiles(kind: str, shape, zoom: int, buffer: float = 4.0, extents: tu
         wrapped = column % n
         if not x_low <= wrapped < x_high:
             continue
-        if kind == "line":
-            strip = clip_line(lines[0], column - b, -np.inf, column + 1 + b, np.inf) if low[0] < column - b or high[0] > column + 1 + b else lines
-        else:
-            strip = [r for r in (clip_ring(r, column - b, column + 1 + b, 0) for r in lines) if len(r) >= 4]
-            edges = np.concatenate([np.stack([r[:-1, 1], r[1:, 1]], axis=1)[(r[:-1, 0] != r[1:, 0]) | ((r[:-1, 0] > column - b) & (r[:-1, 0] < column + 1 + b))] for r in strip]) if strip else np.zeros((0, 2))
+        strip = [r for r in (clip_ring(r, column - b, column + 1 + b, 0) for r in lines) if len(r) >= 4]
+        edges = np.concatenate([np.stack([r[:-1, 1], r[1:, 1]], axis=1)[(r[:-1, 0] != r[1:, 0]) | ((r[:-1, 0] > column - b) & (r[:-1, 0] < column + 1 + b))] for r in strip]) if strip else np.zeros((0, 2))
         top, bottom = max(first_row, y_low), min(last_row, y_high - 1)
-        if kind == "line":
-            in_row: dict[int, list] = {}
-            for piece in strip:
-                low_row, high_row = int(np.floor(piece[:, 1].min() - b)), int(np.floor(piece[:, 1].max() + b))
-                for row in range(max(top, low_row), min(bottom, high_row) + 1):
-                    for p in clip_line(piece, -np.inf, row - b, np.inf, row + 1 + b):
-                        in_row.setdefault(row, []).append((p - (column, row)) * 256)
-            out += [(wrapped, row, shapes, False) for row, shapes in sorted(in_row.items())]
-            continue
         if not strip or bottom < top:
             continue
         touched = np.zeros(bottom - top + 1, dtype=bool)

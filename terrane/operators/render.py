@@ -1,29 +1,44 @@
 """From features with shapes to encoded tiles.
 
 A feature row is (layer, id, kind, shape, minzoom, maxzoom, sort_key, attrs): kind is point, line or polygon, shape the world
-coordinates as array<array<array<double>>> (parts of points), attrs a MAP<STRING,STRING>. The pre-size filter, the zoom explosion, the label
-limit and the grouping by tile are plans; only cutting, simplifying and encoding run as Arrow batches. Tiles wholly inside a polygon are
-told by the kernel without cutting.
+coordinates as array<array<array<double>>> (parts of points), attrs a MAP<STRING,STRING>. The columns of ``OPTIONAL`` may be added. Points are
+exploded to zooms and tiles by column expressions and never meet Python. Lines and polygons are sized, simplified and cut in one pass of Arrow
+batches, as flat coordinate lists. The label limit is a plan; layer hooks and merging run in one stage that lets all other rows pass, so a
+build renders each feature once. Tiles wholly inside a polygon are told by the kernel without cutting.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrane.functions import geo
 from terrane.kernels import geometry as g
 from terrane.kernels import mvt
 from terrane.kernels.lines import merge_lines
-from terrane.operators.tiling import limit_per_cell
-from terrane.streams import kernel_partitions, over_groups, sorted_groups
+from terrane.operators.tiling import explode_zooms, limit_per_cell, point_tiles
+from terrane.streams import kernel_partitions, over_some_groups, sorted_groups
 
 FEATURE = "layer string, id bigint, kind string, shape array<array<array<double>>>, minzoom int, maxzoom int, sort_key int, attrs map<string,string>"
-RENDERED = "layer string, id bigint, kind string, z int, x int, y int, parts array<array<array<double>>>, sort_key int, cell bigint, attrs map<string,string>, filled boolean"
+#: Columns that a feature may have besides: the zoom from which each attribute is shown, least sizes and buffer in pixels in place of the build's,
+#: what point to make of the shape, stretches of a line (shares of its length) with attributes of their own, later ones over earlier ones, and
+#: ``python`` where the row was made by a Python function, whose points are then placed in the kernel, so that the function runs once.
+OPTIONAL = {
+    "attr_zooms": "map<string,int>", "min_size": "double", "min_size_at_max": "double", "buffer": "double", "mode": "string",
+    "stretches": "array<struct<start_at:double,end_at:double,attrs:map<string,string>>>", "made": "string",
+}
+#: ``xy`` are the coordinates in tile pixels, ``ends`` the number of points up to the end of each part.
+RENDERED = "layer string, id bigint, kind string, z int, x int, y int, xy array<double>, ends array<int>, sort_key int, cell bigint, attrs map<string,string>, filled boolean"
+_NAMES = [c.split()[0] for c in RENDERED.split(", ")]
+_CUT = "layer string, id bigint, kind string, z int, x int, y int, xy array<double>, ends array<int>, sort_key int, cell bigint, attrs_text string, zooms_text string, filled boolean"
+_CUT_NAMES = [c.split()[0] for c in _CUT.split(", ")]
+_ERRORS = (ValueError, IndexError, TypeError, ZeroDivisionError)
 
 
 @dataclass(frozen=True)
@@ -36,7 +51,7 @@ class RenderOptions:
     tolerance: float = 0.1
     tolerance_at_max: float = 1 / 16
     render_maxzoom: int = 14
-    simplify: str = "douglas_peucker"
+    simplify: str | Callable = "douglas_peucker"  # or a function (line in pixels, tolerance, is a ring) -> line
     grid_px: float = 0.0
     grid_limit: int = 0
     grid_maxzoom: int = 14
@@ -54,91 +69,216 @@ SIMPLIFIERS: dict[str, Callable] = {
 }
 
 
-def _pieces(kind: str, shape: list, zoom: int, options: RenderOptions):
-    """(x, y, parts in pixels, filled, cell) of one feature at one zoom."""
-    n = 1 << zoom
-    least, tolerance = options.at(zoom)
-    if kind == "point":
-        b = options.buffer / 256 + 0.1 / mvt.EXTENT
-        for px, py in shape[0]:
-            sx, sy = px * n, py * n
-            cell = None
-            if options.grid_px and zoom <= options.grid_maxzoom and len(shape[0]) == 1:
-                size = options.grid_px / 256
-                cell = (int(np.floor(sx % n / size)) << 32) | (int(np.floor(sy / size)) & 0xFFFFFFFF)
-            for x in range(int(np.floor(sx - b)), int(np.floor(sx + b)) + 1):
-                for y in range(max(0, int(np.floor(sy - b))), min(n - 1, int(np.floor(sy + b))) + 1):
-                    yield x % n, y, [[[(sx - x) * 256, (sy - y) * 256]]], False, cell
-        return
-    to_px = 256.0 * n
-    simplify = SIMPLIFIERS[options.simplify]
-    lines = [np.array([tuple(c) for c in p], dtype=float).reshape(-1, 2) for p in shape]
+def flat(parts: list) -> tuple[np.ndarray, list[int]]:
+    """``xy`` and ``ends`` of parts."""
+    arrays = [np.asarray(p, dtype=float).reshape(-1, 2) for p in parts]
+    return (np.concatenate(arrays).ravel() if arrays else np.zeros(0)), np.cumsum([len(a) for a in arrays]).tolist()
+
+
+def parts_of(xy, ends) -> list[np.ndarray]:
+    """The parts that ``flat`` made flat."""
+    points = np.asarray(xy, dtype=float).reshape(-1, 2)
+    return np.split(points, ends[:-1]) if len(ends) > 1 else [points]
+
+
+def _point_of(mode: str, kind: str, parts: list[np.ndarray]) -> np.ndarray | None:
+    """The point that a geometry mode makes of a line or polygon."""
     if kind == "line":
-        for line in lines:
+        line = max(parts, key=g.length)
+        if mode in ("line_midpoint", "point_on_line", "innermost_point"):
+            return g.along(line, 0.5)
+        return g.line_centroid(line)
+    rings = [g.closed(r) for r in parts]
+    if mode == "polygon_point_on_surface":
+        return g.point_on_surface(rings)
+    if mode == "innermost_point":
+        return g.innermost_point(rings)
+    if mode == "polygon_centroid_if_convex":
+        return g.centroid_if_convex(rings)
+    return g.centroid(rings)
+
+
+def _stretched(line: np.ndarray, stretches, attrs: dict) -> Iterator[tuple[np.ndarray, dict]]:
+    """The pieces of a line between the ends of its stretches, with the attributes of all stretches over them; equal neighbours are one."""
+    cuts = sorted({0.0, 1.0, *(min(1.0, max(0.0, v)) for s in stretches for v in (s["start_at"], s["end_at"]))})
+    runs: list[list] = []
+    for a, z in zip(cuts, cuts[1:]):
+        own = dict(attrs)
+        for s in stretches:
+            if s["start_at"] <= a and s["end_at"] >= z:
+                own |= dict(s["attrs"] or {})
+        if runs and runs[-1][2] == own:
+            runs[-1][1] = z
+        else:
+            runs.append([a, z, own])
+    for a, z, own in runs:
+        yield (line if (a, z) == (0.0, 1.0) else g.part(line, a, z)), own
+
+
+def _pieces(kind: str, parts: list[np.ndarray], zoom: int, options: RenderOptions, least: float, buffer: float):
+    """(x, y, parts in pixels, filled) of one line or polygon at one zoom."""
+    tolerance = options.at(zoom)[1]
+    to_px = 256.0 * (1 << zoom)
+    simplify = options.simplify if callable(options.simplify) else SIMPLIFIERS[options.simplify]
+    extent = options.extents[zoom] if options.extents else None
+    if kind == "line":
+        for line in parts:
             if g.length(line) * to_px < least:
                 continue
-            slim = simplify(line * to_px, tolerance, False) / to_px
-            for x, y, parts, _ in g.slice_to_tiles("line", slim, zoom, options.buffer, _extent(options, zoom)):
-                yield x, y, [p.tolist() for p in parts], False, None
+            slim = simplify(line * to_px, tolerance, False) / to_px if len(line) > 2 else line
+            for x, y, cut, _ in g.slice_to_tiles("line", slim, zoom, buffer, extent):
+                yield x, y, cut, False
         return
-    rings = [g.closed(r) for r in lines]
+    rings = [g.closed(r) for r in parts]
     if np.sqrt(max(g.area(rings), 0)) * to_px < least:
         return
     slim = [simplify(r * to_px, tolerance, True) / to_px for r in rings if np.sqrt(abs(g.signed_area(r))) * to_px >= least]
     if slim:
-        for x, y, parts, filled in g.slice_to_tiles("polygon", slim, zoom, options.buffer, _extent(options, zoom)):
-            yield x, y, [r.tolist() for part in parts for r in part], filled, None
+        for x, y, cut, filled in g.slice_to_tiles("polygon", slim, zoom, buffer, extent):
+            yield x, y, [r for part in cut for r in part], filled
+
+
+def _cell(x: Column, y: Column, zoom: Column, options: RenderOptions) -> Column:
+    """The label cell of a place in the world at a zoom."""
+    n = F.pow(F.lit(2.0), zoom)
+    size = options.grid_px / 256
+    column, row = F.floor(F.pmod(x * n, n) / size).cast("bigint"), F.floor(y * n / size).cast("bigint")
+    return F.when(zoom <= options.grid_maxzoom, F.call_function("shiftleft", column, F.lit(32)).bitwiseOR(row.bitwiseAND(F.lit(0xFFFFFFFF))))
+
+
+def _shown(attrs: Column, attr_zooms: Column) -> Column:
+    return F.when(attr_zooms.isNull(), attrs).otherwise(F.map_filter(attrs, lambda k, v: F.col("z") >= F.coalesce(F.try_element_at(attr_zooms, k), F.lit(0))))
+
 
+def _points(features: DataFrame, options: RenderOptions) -> DataFrame:
+    """Points on tiles, by columns alone."""
+    made = features.select("*", (F.size(F.get("shape", F.lit(0))) == 1).alias("single"), F.explode(F.get("shape", F.lit(0))).alias("at")).drop("shape")
+    made = made.withColumn("wx", F.get("at", F.lit(0))).withColumn("wy", F.get("at", F.lit(1))).drop("at").filter("wx is not null and wy is not null and not isnan(wx) and not isnan(wy)")
+    zoomed = explode_zooms(made, F.col("minzoom"), F.col("maxzoom"))
+    cell = F.when(F.col("single"), _cell(F.col("wx"), F.col("wy"), F.col("z"), options)) if options.grid_px else F.lit(None)
+    placed = point_tiles(zoomed.withColumn("cell", cell.cast("bigint")), F.coalesce("buffer", F.lit(float(options.buffer))))
+    if options.extents:
+        inside = F.lit(False)
+        for zoom, (x0, y0, x1, y1) in enumerate(options.extents):
+            inside = inside | ((F.col("z") == zoom) & (F.col("tx") >= x0) & (F.col("tx") < x1) & (F.col("ty") >= y0) & (F.col("ty") < y1))
+        placed = placed.filter(inside)
+    return placed.select(
+        "layer", "id", "kind", F.col("z").cast("int").alias("z"), F.col("tx").cast("int").alias("x"), F.col("ty").cast("int").alias("y"), F.array("px", "py").alias("xy"), F.array(F.lit(1)).alias("ends"),
+        "sort_key", "cell", _shown(F.col("attrs"), F.col("attr_zooms")).alias("attrs"), F.lit(False).alias("filled"),
+    )
 
-def _extent(options: RenderOptions, zoom: int):
-    return options.extents[zoom] if options.extents else None
 
+def with_optional(features: DataFrame) -> DataFrame:
+    return features.withColumns({c: F.lit(None).cast(t) for c, t in OPTIONAL.items() if c not in features.columns})
 
-def render(features: DataFrame, options: RenderOptions = RenderOptions()) -> DataFrame:
-    """One row per feature, zoom and tile. A feature whose shape fails is skipped at that zoom; the others go on."""
+
+def render(features: DataFrame, options: RenderOptions = RenderOptions(), derives: bool = True, failed: Callable[[], None] | None = None) -> DataFrame:
+    """One row per feature, zoom and tile (``RENDERED``). A feature whose shape fails is skipped at that zoom and ``failed`` is told; the others go on.
+
+    ``derives`` says that modes may make points of lines or polygons; without it only points have label cells.
+    """
+    spread = with_optional(features).filter("shape is not null and minzoom <= maxzoom")
+    plain_point = (F.col("kind") == "point") & F.coalesce(F.col("made") != "python", F.lit(True))
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = []
-            for layer, id_, kind, shape, low, high, key, attrs in zip(*(frame[c] for c in ("layer", "id", "kind", "shape", "minzoom", "maxzoom", "sort_key", "attrs"))):
-                for zoom in range(low, high + 1):
-                    try:
-                        made = list(_pieces(kind, shape, zoom, options))
-                    except (ValueError, IndexError, TypeError, ZeroDivisionError):
+            rows: list[tuple] = []
+            columns = ("layer", "id", "kind", "xy", "ends", "minzoom", "maxzoom", "sort_key", "attrs_text", "zooms_text", "min_size", "min_size_at_max", "buffer", "mode", "stretches")
+            for layer, id_, kind, xy, ends, low, high, key, attrs, zooms, size, size_at_max, buffer, mode, stretches in zip(*(frame[c] for c in columns)):
+                buffer = options.buffer if buffer is None or buffer != buffer else buffer
+                try:
+                    parts = parts_of(xy, ends)
+                    if mode is not None or kind == "point":
+                        points = parts[0] if kind == "point" else [_point_of(mode, _source_kind(mode, parts), parts)]
+                        for point in points:
+                            for zoom in range(low, high + 1) if point is not None else ():
+                                rows += [(layer, id_, "point", zoom, x, y, at, [1], key, cell if len(points) == 1 else None, attrs, zooms, False) for x, y, at, cell in _on_tiles(point, zoom, buffer, options)]
                         continue
-                    rows += [(layer, id_, kind, zoom, x, y, parts, key, cell, attrs, filled) for x, y, parts, filled, cell in made]
+                    given = [(parts, attrs)]
+                    if stretches is not None and len(stretches) and kind == "line":
+                        given = [([line], json.dumps(own)) for part in parts for line, own in _stretched(part, stretches, json.loads(attrs or "{}"))]
+                except _ERRORS:
+                    if failed:
+                        failed()
+                    continue
+                for zoom in range(low, high + 1):
+                    least = options.at(zoom)[0]
+                    own_size = size_at_max if zoom >= options.render_maxzoom else size
+                    least = least if own_size is None or own_size != own_size else own_size
+                    for some, text in given:
+                        try:
+                            rows += [(layer, id_, kind, zoom, x, y, *flat(made), key, None, text, zooms, filled) for x, y, made, filled in _pieces(kind, some, zoom, options, least, buffer)]
+                        except _ERRORS:
+                            if failed:
+                                failed()
                     if len(rows) >= 4000:
-                        yield _frame(rows)
+                        yield _frame(rows, _CUT_NAMES)
                         rows = []
             if rows:
-                yield _frame(rows)
-
-    spread = features.filter("shape is not null and minzoom <= maxzoom")
-    return spread.mapInPandas(cut, RENDERED)
-
-
-def _frame(rows: list) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=["layer", "id", "kind", "z", "x", "y", "parts", "sort_key", "cell", "attrs", "filled"])
+                yield _frame(rows, _CUT_NAMES)
+
+    shaped = spread.filter(~plain_point).select(
+        "layer", "id", "kind", F.flatten(F.flatten("shape")).alias("xy"), F.aggregate("shape", F.array().cast("array<int>"), lambda a, p: F.concat(a, F.array(F.coalesce(F.element_at(F.when(F.size(a) > 0, a), -1), F.lit(0)) + F.size(p)))).alias("ends"),
+        "minzoom", "maxzoom", "sort_key", F.to_json("attrs").alias("attrs_text"), F.to_json("attr_zooms").alias("zooms_text"), "min_size", "min_size_at_max", "buffer", "mode", "stretches",
+    )
+    made = shaped.mapInPandas(cut, _CUT)
+    attrs = _shown(F.from_json("attrs_text", "map<string,string>"), F.from_json("zooms_text", "map<string,int>"))
+    cell = F.col("cell") if derives and options.grid_px else F.lit(None).cast("bigint")
+    slices = made.select("layer", "id", "kind", "z", "x", "y", "xy", "ends", "sort_key", cell.alias("cell"), attrs.alias("attrs"), "filled")
+    return _points(spread.filter(plain_point), options).unionByName(slices)
+
+
+def _source_kind(mode: str, parts: list[np.ndarray]) -> str:
+    """Whether the shape under a mode is a line or a polygon: told by the mode, or by whether it is closed."""
+    if mode.startswith("line") or mode == "point_on_line":
+        return "line"
+    if mode.startswith("polygon"):
+        return "polygon"
+    return "polygon" if len(parts[0]) >= 4 and (parts[0][0] == parts[0][-1]).all() else "line"
+
+
+def _on_tiles(point: np.ndarray, zoom: int, buffer: float, options: RenderOptions) -> Iterator[tuple[int, int, list[float], int | None]]:
+    """(x, y, place in pixels, label cell) on every tile whose buffered square holds the point."""
+    n = 1 << zoom
+    sx, sy = float(point[0]) * n, float(point[1]) * n
+    b = buffer / 256 + 0.1 / mvt.EXTENT
+    cell = None
+    if options.grid_px and zoom <= options.grid_maxzoom:
+        size = options.grid_px / 256
+        cell = (int(np.floor(sx % n / size)) << 32) | (int(np.floor(sy / size)) & 0xFFFFFFFF)
+    for x in range(int(np.floor(sx - b)), int(np.floor(sx + b)) + 1):
+        for y in range(max(0, int(np.floor(sy - b))), min(n - 1, int(np.floor(sy + b))) + 1):
+            yield x % n, y, [(sx - x) * 256, (sy - y) * 256], cell
+
+
+def _frame(rows: list, names: list[str]) -> pd.DataFrame:
+    frame = pd.DataFrame(rows, columns=names)
     frame["cell"] = frame["cell"].astype("Int64")
     return frame
 
 
-def label_limited(rendered: DataFrame, options: RenderOptions) -> DataFrame:
+def label_limited(rendered: DataFrame, options: RenderOptions, derives: bool = False) -> DataFrame:
+    """At most ``grid_limit`` labels of each layer in a cell; ``derives`` as in ``render``."""
     if not options.grid_px or options.grid_limit < 1:
         return rendered
-    return limit_per_cell(rendered, "cell", options.grid_limit, ["z", "x", "y", "layer"], [F.col("sort_key"), F.col("id")])
+    if not derives:
+        return limit_per_cell(rendered, "cell", options.grid_limit, ["z", "x", "y", "layer"], [F.col("sort_key"), F.col("id")])
+    # rows without a cell are each a group of their own, so that the kernel's rows are read once
+    alone = F.when(F.col("cell").isNull(), F.xxhash64("id", "kind"))
+    rank = F.row_number().over(Window.partitionBy("z", "x", "y", "layer", "cell", alone).orderBy("sort_key", "id"))
+    return rendered.withColumn("_rank", rank).filter((F.col("_rank") <= options.grid_limit) | F.col("cell").isNull()).drop("_rank")
 
 
-def merged(rendered: DataFrame, layers: dict[str, dict]) -> DataFrame:
+def merged(rendered: DataFrame, layers: dict[str, dict], failed: Callable[[], None] | None = None) -> DataFrame:
     """Merge lines or polygons of equal attributes in each tile, for the layers named (with the kernel's parameters).
 
-    The key holds the attributes, so one heavy tile is many groups; other rows pass by.
+    The key holds the attributes, so one heavy tile is many groups; other rows pass by in the same stage. ``min_length`` of lines may be a
+    function of (attributes, zoom).
     """
     kinds = {name: ("polygon" if "min_area" in p or p.get("kind") == "polygon" else "line") for name, p in layers.items()}
     touched = F.lit(False)
     for name, kind in kinds.items():
         touched = touched | ((F.col("layer") == name) & (F.col("kind") == kind))
-    keyed = rendered.filter(touched).withColumn("attr_key", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("attrs")))))
 
     def run(group: pd.DataFrame) -> Iterator[pd.DataFrame]:
         first = group.iloc[0]
@@ -147,24 +287,39 @@ def merged(rendered: DataFrame, layers: dict[str, dict]) -> DataFrame:
         try:
             if kind == "line":
                 p.pop("kind", None)
-                shapes = [[x.tolist() for x in merge_lines([np.array([list(c) for c in part]) for parts in group["parts"] for part in parts], **p)]]
+                if callable(p.get("min_length")):
+                    p["min_length"] = p["min_length"](dict(first["attrs"] or ()), int(first["z"]))
+                shapes = [merge_lines([part for xy, ends in zip(group["xy"], group["ends"]) for part in parts_of(xy, ends)], **p)]
             else:
-                polygons = g.nest_all([[np.array([list(c) for c in r]) for r in parts] for parts in group["parts"]])
+                polygons = g.nest_all([parts_of(xy, ends) for xy, ends in zip(group["xy"], group["ends"])])
                 near = p.get("min_distance", 0.0)
-                whole = g.buffered(g.buffered(polygons, near / 2), -near / 2) if near else g.union(polygons)
+                whole = g.buffered(g.buffered(polygons, near / 2), -near / 2) if near else polygons if len(polygons) == 1 else g.union(polygons)
                 whole = [[r for k, r in enumerate(q) if k == 0 or abs(g.signed_area(r)) >= p.get("min_hole_area", 0.0)] for q in whole if g.area(q) >= p.get("min_area", 0.0)]
-                shapes = [[r.tolist() for r in q] for q in whole]
+                shapes = whole
         except (ValueError, IndexError, ZeroDivisionError):  # the features stay as they were
-            yield group.drop(columns="attr_key")
+            if failed:
+                failed()
+            yield group[_NAMES]
             return
         id_ = int(group["id"].min())
         id_ = id_ // 10 * 10 if len(group) > 1 else id_
-        rows = [(first["layer"], id_, kind, first["z"], first["x"], first["y"], s, int(group["sort_key"].min()), None, first["attrs"], False) for s in shapes if s]
+        rows = [(first["layer"], id_, kind, first["z"], first["x"], first["y"], *flat(s), int(group["sort_key"].min()), None, first["attrs"], False) for s in shapes if s]
         if rows:
-            yield _frame(rows)
+            yield _frame(rows, _NAMES)
+
+    def keyed(group: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        # the hash brings equal attributes together; what differs in spite of it is told apart here
+        texts = group["attr_text"]
+        if texts.nunique(dropna=False) == 1:
+            yield from run(group)
+            return
+        for _, some in group.groupby("attr_text", dropna=False, sort=True):
+            yield from run(some)
 
-    done = over_groups(keyed, ["z", "x", "y", "layer", "attr_key"], run, RENDERED, kernel_partitions(keyed))
-    return rendered.filter(~touched).unionByName(done)
+    text = F.to_json(F.map_from_entries(F.array_sort(F.map_entries("attrs"))))
+    known = rendered.withColumn("attr_text", F.when(touched, text)).withColumn("attr_key", F.when(touched, F.xxhash64("attr_text")).otherwise(0))
+    done = over_some_groups(known, touched, ["z", "x", "y", "layer", "attr_key"], keyed, RENDERED)
+    return done
 
 
 def encode_tiles(rendered: DataFrame, compression: str = "gzip", skip_filled: bool = False) -> DataFrame:
@@ -174,24 +329,28 @@ def encode_tiles(rendered: DataFrame, compression: str = "gzip", skip_filled: bo
     concatenation of its layers, so no task needs all features of a heavy tile.
     """
 
-    def layer(group: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    def layer(group: pd.DataFrame, known: dict[str, dict]) -> Iterator[pd.DataFrame]:
         features = []
-        for id_, kind, parts, attrs in zip(group["id"], group["kind"], group["parts"], group["attrs"]):
-            shape = [[list(c) for c in p] for p in parts]
-            points = shape[0] if kind == "point" else shape
-            ints = mvt.commands(kind, points)
-            features.append({"id": int(id_), "kind": kind, "commands": ints, "attrs": dict(attrs) if attrs is not None else {}})
+        for id_, kind, xy, ends, text in zip(group["id"], group["kind"], group["xy"], group["ends"], group["attrs_text"]):
+            parts = parts_of(xy, ends)
+            attrs = known.get(text)
+            if attrs is None:
+                attrs = known[text] = json.loads(text) if text else {}
+            features.append({"id": int(id_), "kind": kind, "commands": mvt.commands(kind, parts[0] if kind == "point" else parts), "attrs": attrs})
         name = group["layer"].iloc[0]
         data = mvt.encode({name: features})
         if data:
             yield pd.DataFrame({"z": [group["z"].iloc[0]], "x": [group["x"].iloc[0]], "y": [group["y"].iloc[0]], "layer": [name], "data": [data], "n": [len(features)], "filled": [bool(group["filled"].all())]})
 
-    ordered = rendered.select("z", "x", "y", "layer", "sort_key", "id", "kind", "parts", "attrs", "filled")
+    ordered = rendered.select("z", "x", "y", "layer", "sort_key", "id", "kind", "xy", "ends", F.to_json("attrs").alias("attrs_text"), "filled")
     spread = ordered.repartition(kernel_partitions(ordered), "z", "x", "y", "layer").sortWithinPartitions("z", "x", "y", "layer", "sort_key", "id")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, dict] = {}
         for group in sorted_groups(frames, ["z", "x", "y", "layer"]):
-            yield from layer(group)
+            if len(known) > 50_000:
+                known.clear()
+            yield from layer(group, known)
 
     layers = spread.mapInPandas(run, "z int, x int, y int, layer string, data binary, n bigint, filled boolean")
     tiles = layers.groupBy("z", "x", "y").agg(F.array_sort(F.collect_list(F.struct("layer", "data"))).alias("parts"), F.sum("n").alias("n_features"), F.bool_and("filled").alias("filled"))

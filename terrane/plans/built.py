@@ -13,9 +13,9 @@ from terrane.kernels import geometry as g
 from terrane.operators import merge
 from terrane.operators import osm
 from terrane.operators import render as r
-from terrane.plans.points import current_nodes, current_relations, current_ways
+from terrane.plans.points import NODES, RELATIONS, WAYS, WORLD_Y, current_nodes, current_relations, current_ways
 from terrane.plans.registry import Tables, query
-from terrane.rules.ast import And, GeometryIs, Or, TagIn, TagPresent
+from terrane.rules.ast import TRUE, And, GeometryIs, Or, TagIn, TagPresent
 
 
 def _engine(t: Tables, profile: Profile, areas: bool = True) -> Engine:
@@ -39,7 +39,7 @@ def roads_and_buildings(maxzoom: int = 8) -> Profile:
 @query("til03_sliced_tiles")
 def til03(t: Tables):
     made = _engine(t, roads_and_buildings()).rendered()
-    return made.groupBy("layer", "z", "x", "y").agg(F.count("*").alias("n_features"), F.sum(F.size("parts")).alias("n_parts"))
+    return made.groupBy("layer", "z", "x", "y").agg(F.count("*").alias("n_features"), F.sum(F.size("ends")).alias("n_parts"))
 
 
 @query("til04_filled_tiles")
@@ -125,18 +125,14 @@ def geo16(t: Tables):
 @query("agg18_merged_roads")
 def agg18(t: Tables):
     engine = _engine(t, roads_and_buildings(7))
-    rendered = engine.rendered().filter("layer = 'road' and z = 7")
-    exploded = rendered.select("z", "x", "y", F.col("attrs")["class"].alias("attrs"), "id", F.explode("parts").alias("line"))
-    from terrane.kernels.lines import merge_lines
-
-    merged = merge.merge_in_tiles(exploded, ["z", "x", "y"], lambda lines: merge_lines(lines, min_length=0.0))
-    return merged.groupBy("z", "x", "y", "attrs").agg(F.count("*").alias("n_lines"), F.min("id").alias("id"))
+    merged = r.merged(engine.rendered().filter("layer = 'road' and z = 7"), {"road": {"min_length": 0.0}})
+    return merged.select("z", "x", "y", F.col("attrs")["class"].alias("attrs"), F.size("ends").alias("n_lines"), "id")
 
 
 @query("agg20_merged_zones")
 def agg20(t: Tables):
     rendered = r.render(_zone_features(t, 3), r.RenderOptions(render_maxzoom=3)).withColumn("attrs", F.create_map(F.lit("kind"), F.lit("zone")))
-    return r.merged(rendered, {"zone": {"min_area": 1.0}}).groupBy("z", "x", "y").agg(F.count("*").alias("n_polygons"), F.sum(F.size("parts")).alias("n_rings"))
+    return r.merged(rendered, {"zone": {"min_area": 1.0}}).groupBy("z", "x", "y").agg(F.count("*").alias("n_polygons"), F.sum(F.size("ends")).alias("n_rings"))
 
 
 @query("snk13_encoded_tiles")
@@ -186,13 +182,88 @@ layers:
   - {source: osm, geometry: polygon, min_zoom: 8, max_zoom: 8, include_when: {building: __any__}, attributes: [{key: building}]}
 """
 
+# every construct that a full basemap schema uses, in one of our own: defaults, arguments, typed tags, overrides by value and by script, gated
+# attributes, sizes, buffers, all geometry modes, merging
+BASEMAP = """
+schema_name: Basemap
+schema_description: A small map of everything
+attribution: none
+args: {first_zoom: 4, top: 8}
+tag_mappings: {population: integer, layer: {type: integer, input: layer}}
+layers:
+- id: street
+  buffer: 8
+  features:
+  - source: osm
+    geometry: line
+    min_zoom: {default_value: 7, overrides: [{if: {highway: [motorway, trunk, primary]}, value: 5}, {if: {highway: [secondary, tertiary]}, value: 6}]}
+    max_zoom: ${ args.top }
+    include_when: {highway: __any__}
+    exclude_when: {area: ['yes']}
+    attributes:
+    - {key: kind, type: match_value}
+    - {key: name, min_zoom: 8}
+    - {key: bridge, include_when: {bridge: 'yes'}, value: true}
+    - {key: ref, tag_value: ref, min_zoom_by_value: {'1': 6}}
+  tile_post_process: {merge_line_strings: {min_length: 0.5, tolerance: 0.2}}
+- id: crossing
+  features:
+  - {source: osm, geometry: split_line, min_zoom: 8, max_zoom: 8, include_when: {__all__: [{highway: __any__}, {name: __any__}]}, attributes: [{key: name}]}
+- id: building
+  features:
+  - source: osm
+    geometry: polygon
+    min_zoom: 7
+    max_zoom: 8
+    min_size: 0.5
+    include_when: {building: __any__}
+    attributes: [{key: kind, tag_value: building}, {key: big, value: '${ feature.area() > 1000000.0 }'}]
+  tile_post_process: {merge_polygons: {min_area: 0.1}}
+- id: label
+  buffer: 16
+  features:
+  - {source: osm, geometry: polygon_centroid, min_zoom: 6, max_zoom: 8, include_when: {building: __any__}, attributes: [{key: kind, value: building}, {key: name, min_zoom: 7}]}
+  - {source: osm, geometry: line_midpoint, min_zoom: 7, max_zoom: 8, include_when: {highway: __any__}, attributes: [{key: kind, value: street}, {key: length, value: '${ int(feature.length()) }', min_zoom: 8}]}
+  - source: osm
+    geometry: point
+    min_zoom: ${ args.first_zoom }
+    max_zoom: ${ args.top }
+    include_when: {amenity: __any__, shop: __any__, name: __any__}
+    sort_key: ${ feature.id % 1000 }
+    attributes:
+    - {key: kind, value: [{if: {amenity: __any__}, value: '${ feature.tags.amenity }'}, {if: {shop: __any__}, value: shop}, {else: place}]}
+    - {key: name, min_zoom: 6, exclude_when: {name: ['unknown']}}
+"""
+
+
+def _schema_engine(t: Tables, text: str, maxzoom: int = 8, **options) -> Engine:
+    from terrane.rules.schema import SchemaPlan
+
+    return _engine(t, Profile.of(SchemaPlan.load(text), options=r.RenderOptions(render_maxzoom=maxzoom, **options)))
+
 
 @query("qry10_schema_build")
 def qry10(t: Tables):
-    from terrane.rules.schema import SchemaPlan
+    """A build of the basemap schema over all sources, down to encoded tiles."""
+    return _schema_engine(t, BASEMAP).tiles().select("z", "x", "y", "n_features")
+
 
-    profile = Profile.of(SchemaPlan.load(POWER), options=r.RenderOptions(render_maxzoom=8))
-    return _engine(t, profile).tiles().select("z", "x", "y", "n_features")
+POINT_TAGS = "CASE WHEN tags['{0}'] <> '' THEN tags['{0}'] END"
+SCHEMA_POINTS = f"""WITH {NODES}, tagged AS (SELECT id, lat, lon, {POINT_TAGS.format("amenity")} AS amenity, {POINT_TAGS.format("shop")} AS shop, {POINT_TAGS.format("name")} AS name FROM cur_node WHERE lat IS NOT NULL AND lon IS NOT NULL),
+placed AS (SELECT id * 10 + 1 AS id, amenity, shop, name, (lon + 180) / 360 AS wx, {WORLD_Y} AS wy FROM tagged WHERE amenity IS NOT NULL OR shop IS NOT NULL OR name IS NOT NULL),
+zoomed AS (SELECT *, unnest(generate_series(4, 8)) AS z FROM placed),
+spot AS (SELECT *, wx * pow(2, z) AS sx, wy * pow(2, z) AS sy, 16.0 / 256 + 0.1 / 4096 AS b FROM zoomed),
+col AS (SELECT *, unnest(generate_series(CAST(floor(sx - b) AS BIGINT), CAST(floor(sx + b) AS BIGINT))) AS tx FROM spot),
+tile AS (SELECT *, unnest(generate_series(greatest(CAST(floor(sy - b) AS BIGINT), 0), least(CAST(floor(sy + b) AS BIGINT), CAST(pow(2, z) AS BIGINT) - 1))) AS ty FROM col)
+SELECT id, CAST(z AS INTEGER) AS z, CAST((tx + CAST(pow(2, z) AS BIGINT)) % CAST(pow(2, z) AS BIGINT) AS INTEGER) AS x, CAST(ty AS INTEGER) AS y, CAST(id % 1000 AS INTEGER) AS sort_key,
+ CASE WHEN amenity IS NOT NULL THEN amenity WHEN shop IS NOT NULL THEN 'shop' ELSE 'place' END AS kind, CASE WHEN z >= 6 AND name <> 'unknown' THEN name END AS name FROM tile"""
+
+
+@query("qry10_schema_points", SCHEMA_POINTS)
+def qry10_points(t: Tables):
+    """The point labels of the same build, with the attributes that each zoom shows."""
+    made = _schema_engine(t, BASEMAP).rendered().filter("layer = 'label' and pmod(id, 10) = 1")
+    return made.select("id", "z", "x", "y", "sort_key", F.col("attrs")["kind"].alias("kind"), F.col("attrs")["name"].alias("name"))
 
 
 @query("udf01_python_handler")
@@ -244,21 +315,46 @@ def prj03(t: Tables):
     return _engine(t, Profile("parts", [Handler(GeometryIs("line"), function=handle)], r.RenderOptions(render_maxzoom=8)), areas=False).rendered().select("id", "z", "x", "y")
 
 
+MODES = """
+layers:
+- id: polygons
+  features:
+  - {geometry: polygon_centroid, min_zoom: 6, max_zoom: 6, attributes: [{key: mode, value: polygon_centroid}]}
+  - {geometry: polygon_centroid_if_convex, min_zoom: 6, max_zoom: 6, attributes: [{key: mode, value: polygon_centroid_if_convex}]}
+  - {geometry: polygon_point_on_surface, min_zoom: 6, max_zoom: 6, attributes: [{key: mode, value: polygon_point_on_surface}]}
+- id: lines
+  features:
+  - {geometry: line_centroid, min_zoom: 6, max_zoom: 6, attributes: [{key: mode, value: line_centroid}]}
+  - {geometry: line_midpoint, min_zoom: 6, max_zoom: 6, attributes: [{key: mode, value: line_midpoint}]}
+  - {geometry: point_on_line, min_zoom: 6, max_zoom: 6, attributes: [{key: mode, value: point_on_line}]}
+  - {geometry: split_line, min_zoom: 6, max_zoom: 6, attributes: [{key: mode, value: split_line}]}
+- id: all
+  features:
+  - {geometry: centroid, min_zoom: 6, max_zoom: 6, attributes: [{key: mode, value: centroid}]}
+  - {geometry: innermost_point, min_zoom: 6, max_zoom: 6, attributes: [{key: mode, value: innermost_point}]}
+  - {geometry: point, min_zoom: 6, max_zoom: 6, attributes: [{key: mode, value: point}]}
+"""
+
+
 @query("prj14_geometry_modes")
 def prj14(t: Tables):
-    """Each way as the points that the geometry modes make of it."""
+    """What the geometry modes of a schema, which names no source, make of every feature."""
+    made = _schema_engine(t, MODES, 6, buffer=0.0, min_size_at_max=0.0).rendered()
+    return made.select("layer", F.col("attrs")["mode"].alias("mode"), "kind", "id", "x", "y", F.size("ends").alias("n_parts"))
 
-    def handle(feature: dict):
-        line = np.array([tuple(p) for p in feature["shape"][0]])
-        modes = {"line_midpoint": g.along(line, 0.5), "line_centroid": g.line_centroid(line)}
-        if feature["geom_type"] == "polygon":
-            ring = [g.closed(line)]
-            modes = {"polygon_centroid": g.centroid(ring), "polygon_point_on_surface": g.point_on_surface(ring), "innermost_point": g.innermost_point(ring)}
-        for mode, point in modes.items():
-            yield {"layer": mode, "kind": "point", "minzoom": 6, "maxzoom": 6, "shape": [[point.tolist()]], "attrs": {}}
-
-    profile = Profile("modes", [Handler(Or((GeometryIs("line"), GeometryIs("polygon"))), function=handle)], r.RenderOptions(render_maxzoom=6, buffer=0.0))
-    return _engine(t, profile, areas=False).rendered().select("layer", "id", "x", "y")
+
+MEMBER_WAYS = f"""WITH {NODES}, {RELATIONS}, {WAYS}, known AS (SELECT id FROM cur_node WHERE lat IS NOT NULL AND lon IS NOT NULL),
+whole AS (SELECT way_id FROM (SELECT way_id, unnest(node_ids) AS n FROM cur_way) u LEFT JOIN known ON known.id = u.n GROUP BY way_id HAVING count(*) = count(known.id)),
+link AS (SELECT DISTINCT relation_id, member_ref AS way_id, coalesce(role, '') AS role FROM relation_members WHERE member_type = 'way')
+SELECT way_id * 10 + 2 AS id, count(*) AS n_relations, min(relation_id) AS first_relation FROM whole JOIN link USING (way_id) JOIN cur_rel r ON r.id = relation_id WHERE r.tags['type'] <> '' GROUP BY way_id"""
+
+
+@query("udf02_relations_on_ways", MEMBER_WAYS)
+def udf02(t: Tables):
+    """Ways as features that know the relations they are members of."""
+    profile = Profile("members", [Handler(TRUE, {"attrs": F.create_map(F.lit("n"), F.size("relations").cast("string"), F.lit("first"), F.get("relations", F.lit(0))["id"].cast("string"))})], member_relations=TagPresent("type"))
+    made = _engine(t, profile, areas=True).features().filter("pmod(id, 10) = 2 and attrs['first'] is not null")
+    return made.select("id", F.col("attrs")["n"].cast("bigint").alias("n_relations"), F.col("attrs")["first"].cast("bigint").alias("first_relation"))
 
 
 SPECS = [

@@ -124,7 +124,7 @@ def str05(t: Tables):
 
 @query(
     "str07_without_latin",
-    r"""SELECT s, nullif(array_to_string(list_filter(string_split(translate(trim(replace(replace(replace(plain, '()', ''), '( )', ''), '(  )', ''), ' ./-'), chr(9), ' '), ' '), lambda w: w <> ''), ' '), '') AS v
+    r"""SELECT s, nullif(array_to_string(list_filter(string_split(translate(trim(replace(replace(replace(replace(plain, '()', ''), '( )', ''), '(  )', ''), '(-)', ''), ' ./-'), chr(9), ' '), ' '), lambda w: w <> ''), ' '), '') AS v
 FROM (SELECT s, array_to_string(list_filter(string_split(replace(s, ' (Café)', ''), ''), lambda c: NOT regexp_matches(c, '\p{Latin}')), '') AS plain FROM (SELECT DISTINCT string_value || ' (Café)' AS s FROM layer_attrs WHERE string_value <> '') q) x""",
 )
 def str07(t: Tables):

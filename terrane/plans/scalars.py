@@ -240,7 +240,7 @@ LATIN = "a-zA-Zªºµ\\x{00C0}-\\x{00D6}\\x{00D8}-\\x{00F6}\\x{00F8}-\\x{024F}"
     "str06_latin",
     r"""WITH v AS (SELECT DISTINCT string_value AS s FROM layer_attrs WHERE string_value IS NOT NULL AND string_value <> '')
 SELECT s, len(list_filter(string_split(s, ''), lambda c: regexp_matches(c, '\p{L}') AND NOT regexp_matches(c, '\p{Latin}'))) = 0 AS only_latin,
- CASE WHEN plain = s THEN trim(s) ELSE nullif(array_to_string(list_filter(string_split(translate(trim(replace(replace(replace(plain, '()', ''), '( )', ''), '(  )', ''), ' ./-'), chr(9), ' '), ' '), lambda w: w <> ''), ' '), '') END AS rest
+ CASE WHEN plain = s THEN trim(s) ELSE nullif(array_to_string(list_filter(string_split(translate(trim(replace(replace(replace(replace(plain, '()', ''), '( )', ''), '(  )', ''), '(-)', ''), ' ./-'), chr(9), ' '), ' '), lambda w: w <> ''), ' '), '') END AS rest
 FROM (SELECT s, array_to_string(list_filter(string_split(s, ''), lambda c: NOT regexp_matches(c, '\p{Latin}')), '') AS plain FROM v) x""",
 )
 def str06(t: Tables):

@@ -190,7 +190,11 @@ class GeometryIs(Rule):
         return {"point": F.col("geom_type") == "point", "line": F.col("can_be_line"), "polygon": F.col("can_be_polygon"), "any": F.lit(True)}[self.kind]
 
     def partial(self, known):
-        return Const(known["geometry"] == self.kind) if "geometry" in known else self
+        if self.kind == "any":
+            return TRUE
+        if "geometry" not in known or (known["geometry"] != self.kind and {known["geometry"], self.kind} == {"line", "polygon"}):
+            return self  # a closed line may be a polygon too
+        return Const(known["geometry"] == self.kind)
 
 
 @dataclass(frozen=True)

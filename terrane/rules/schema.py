@@ -21,6 +21,10 @@ GEOMETRIES = {
 }
 
 
+#: Modes that make a point of a line or a polygon.
+POINT_MODES = ("polygon_centroid", "line_centroid", "line_midpoint", "centroid", "polygon_centroid_if_convex", "polygon_point_on_surface", "point_on_line", "innermost_point")
+
+
 class SchemaError(ValueError):
     """The schema cannot be compiled."""
 
@@ -210,12 +214,32 @@ class SchemaPlan:
 
         return cls(yaml.safe_load(text), args)
 
+    def _items(self) -> list[dict]:
+        return [f for layer in self.raw["layers"] for f in layer["features"]]
+
     def used_sources(self) -> set[str]:
-        """Sources that a rule names; others need not be read."""
-        return {s for layer in self.raw["layers"] for f in layer["features"] for s in _listed(f.get("source"))}
+        """Sources that a rule names."""
+        return {s for f in self._items() for s in _listed(f.get("source"))}
+
+    def uses(self, source: str) -> bool:
+        """Whether the source has to be read: a rule names it, or names none, which means any."""
+        return any(not _listed(f.get("source")) or source in _listed(f["source"]) for f in self._items())
+
+    def splits(self) -> bool:
+        """Whether lines are cut where they meet."""
+        return any(f.get("geometry") == "split_line" for f in self._items())
+
+    def derives(self) -> bool:
+        """Whether points are made of lines or polygons."""
+        return any(f.get("geometry") in POINT_MODES for f in self._items())
+
+    def measures(self) -> bool:
+        """Whether a rule asks for areas or lengths."""
+        text = str(self.raw)
+        return any(word in text for word in ("feature.area", "feature.length", "min_tile_cover_size"))
 
     def features(self, df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-        """(layer, id, source, geometry, min_zoom, max_zoom, min_size, sort_key, buffer, attrs, attr_zooms) of every match, and the columns ``keep``.
+        """(layer, id, source, geometry, min_zoom, max_zoom, min_size, min_size_at_max, sort_key, buffer, attrs, attr_zooms) of every match, and the columns ``keep``.
 
         All rules are tests over one scan of the features; a feature that matches several rules gives several rows.
         """
@@ -240,19 +264,20 @@ class SchemaPlan:
                 number = lambda name, kind, scope=scope, item=item, default=None: F.coalesce(value(item.get(name), scope).cast("string").try_cast(kind), F.lit(default).cast(kind))
                 pairs = F.array(*[F.struct(F.lit(a.key).alias("key"), a.value.alias("value"), a.min_zoom.cast("int").alias("zoom")) for a in attributes]) if attributes else F.array().cast("array<struct<key:string,value:string,zoom:int>>")
                 sort_key = number("sort_key", "int") if item.get("sort_key") is not None else -1 - number("sort_key_descending", "int") if item.get("sort_key_descending") is not None else F.lit(0)
+                least = 0.0 if layer.get("tile_post_process") else None  # what is merged later must not be dropped before
                 hits.append(
                     F.when(
                         ast.And(tuple(parts)).simplified().test(),
                         F.struct(
                             F.lit(layer["id"]).alias("layer"), F.lit(shape).alias("geometry"), number("min_zoom", "int", default=0).alias("min_zoom"), number("max_zoom", "int", default=14).alias("max_zoom"),
-                            number("min_size", "double").alias("min_size"), sort_key.alias("sort_key"), F.lit(layer.get("buffer")).cast("double").alias("buffer"),
+                            number("min_size", "double", default=least).alias("min_size"), number("min_size_at_max_zoom", "double", default=least).alias("min_size_at_max"), sort_key.alias("sort_key"), F.lit(layer.get("buffer")).cast("double").alias("buffer"),
                             F.filter(pairs, lambda p: p["value"].isNotNull()).alias("pairs"),
                         ),
                     )
                 )
         exploded = df.withColumn("_hit", F.explode(F.array_compact(F.array(*hits))))
         last = lambda kind: F.map_from_entries(F.transform("_hit.pairs", lambda p: F.struct(p["key"], p[kind])))
-        columns = [F.col(f"_hit.{c}").alias(c) for c in ("layer", "geometry", "min_zoom", "max_zoom", "min_size", "sort_key", "buffer")]
+        columns = [F.col(f"_hit.{c}").alias(c) for c in ("layer", "geometry", "min_zoom", "max_zoom", "min_size", "min_size_at_max", "sort_key", "buffer")]
         return exploded.select("id", "source", *keep, *columns, last("value").alias("attrs"), last("zoom").alias("attr_zooms"))
 
 

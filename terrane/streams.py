@@ -48,6 +48,50 @@ def over_groups(df, keys: list[str], function: Callable[[pd.DataFrame], Iterator
     return spread.sortWithinPartitions(*keys).mapInPandas(run, schema)
 
 
+def over_some_groups(df, active, keys: list[str], function: Callable[[pd.DataFrame], Iterator[pd.DataFrame]], schema: str, spread_by: str = "id"):
+    """``over_groups`` for the rows where ``active`` holds; the others pass by in the same stage, spread evenly, frame by frame.
+
+    What comes before runs once, which two filters and a union of it would not.
+    """
+    from pyspark.sql import functions as F
+
+    tagged = df.withColumn("_active", F.coalesce(active, F.lit(False)))
+    spread = F.when(F.col("_active"), 0).otherwise(1 + F.pmod(F.xxhash64(spread_by), F.lit(1024)))
+    placed = tagged.repartition(kernel_partitions(df), *keys, spread).sortWithinPartitions("_active", *keys)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def awake() -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                flags = frame.pop("_active").to_numpy(bool)
+                yield (frame[flags], frame[~flags])
+
+        held = awake()
+        waiting: list[pd.DataFrame] = []
+        for some, rest in held:  # sorted, so the idle rows come first
+            if len(rest):
+                yield rest
+            if len(some):
+                waiting.append(some)
+                break
+
+        def others() -> Iterator[pd.DataFrame]:
+            yield from waiting
+            for some, _ in held:
+                yield some
+
+        for group in sorted_groups(others(), keys):
+            yield from function(group)
+
+    return placed.mapInPandas(run, schema)
+
+
+#: Bytes of source files that one task of a kernel should take.
+KERNEL_BYTES = 32 << 20
+
+
 def kernel_partitions(df) -> int:
-    """How many tasks a CPU-bound kernel should have: the session's shuffle partitions."""
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """How many tasks a CPU-bound kernel should have: the session's shuffle partitions, and more where the files read are large."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
+    return max(least, -(-sum(n for n in sizes if n < 1 << 60) // KERNEL_BYTES))  # a leaf of unknown size is told by a huge one

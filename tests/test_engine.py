@@ -145,7 +145,118 @@ def test_areas_of_relations(spark):
     members = spark.createDataFrame([(9, "way", w, k, r) for k, (w, r) in enumerate([(1, "outer"), (2, "wrong"), (3, None), (3, None), (77, "outer")])] + [(8, "way", 1, 0, "")], "relation_id bigint, member_type string, member_ref bigint, member_pos int, role string")
     profile = Profile("a", [Handler(TagPresent("landuse"), {"layer": "land", "maxzoom": 0})], RenderOptions(render_maxzoom=0))
     rows = Engine(spark, profile).add_osm("osm", nodes, ways, relations, members).rendered().collect()
-    assert [(r["id"], r["kind"], len(r["parts"])) for r in rows] == [(93, "polygon", 2)]
+    assert [(r["id"], r["kind"], len(r["ends"])) for r in rows] == [(93, "polygon", 2)]
+
+
+MODES = """
+layers:
+- id: label
+  buffer: 0
+  features:
+  - {geometry: polygon_centroid, min_zoom: 3, max_zoom: 5, include_when: {building: __any__}, attributes: [{key: name, min_zoom: 4}, {key: area, value: '${ int(feature.area()) }'}]}
+  - {geometry: line_midpoint, min_zoom: 3, max_zoom: 3, include_when: {highway: path}, attributes: [{key: metres, value: '${ int(feature.length()) }'}]}
+- id: piece
+  features:
+  - {geometry: split_line, min_zoom: 0, max_zoom: 0, include_when: {highway: __any__}}
+- id: small
+  features:
+  - {geometry: polygon, min_zoom: 0, max_zoom: 0, min_size_at_max_zoom: 200, include_when: {building: __any__}}
+"""
+
+
+def small_map(spark):
+    places = [(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0), (20.0, 0.0), (10.0, -10.0)]
+    nodes = spark.createDataFrame([(k, y, x, {}) for k, (x, y) in enumerate(places, 1)], "id bigint, lat double, lon double, tags map<string,string>")
+    ways = spark.createDataFrame(
+        [(7, [1, 2, 3, 4, 1], {"building": "yes", "name": "hall"}), (8, [1, 2, 5], {"highway": "path"}), (9, [2, 6], {"highway": "road"})], "way_id bigint, node_ids array<bigint>, tags map<string,string>"
+    )
+    return nodes, ways
+
+
+def test_build_obeys_the_schema(spark):
+    """Geometry modes, gated attributes, sizes, measures and split lines; rules that name no source read every source."""
+    profile = Profile.of(SchemaPlan.load(MODES), options=RenderOptions(render_maxzoom=5))
+    assert profile.cares_about("anything") and profile.derives
+    engine = Engine(spark, profile).add_osm("osm", *small_map(spark))
+    rows = engine.rendered().collect()
+    halls = {r["z"]: r for r in rows if r["layer"] == "label" and r["id"] == 72}
+    assert set(halls) == {3, 4, 5} and all(r["kind"] == "point" and len(r["xy"]) == 2 for r in halls.values())
+    assert "name" not in halls[3]["attrs"] and halls[4]["attrs"]["name"] == "hall"
+    assert abs(int(halls[3]["attrs"]["area"]) / 1.2308e12 - 1) < 0.01
+    path, *_ = [r for r in rows if r["layer"] == "label" and r["id"] == 82]
+    assert path["kind"] == "point" and abs(int(path["attrs"]["metres"]) - 2223901) < 3000
+    assert sorted({(r["id"], len(r["xy"]) // 2) for r in rows if r["layer"] == "piece"}) == [(82, 2), (92, 2), (182, 2)]  # way 8 meets others at node 2
+    assert engine.failures == dict.fromkeys(("handler", "shape", "hook", "merge", "area"), 0)
+
+
+def test_least_sizes_and_buffers_of_a_schema(spark):
+    text = """
+layers:
+- id: a
+  buffer: 64
+  features: [{geometry: polygon, min_zoom: 0, max_zoom: 0, min_size_at_max_zoom: 200}, {geometry: line, min_zoom: 1, max_zoom: 1, include_when: {highway: road}}]
+- id: b
+  features: [{geometry: line, min_zoom: 1, max_zoom: 1, include_when: {highway: road}}]
+"""
+    profile = Profile.of(SchemaPlan.load(text), options=RenderOptions(render_maxzoom=0))
+    rows = Engine(spark, profile).add_osm("osm", *small_map(spark)).rendered().collect()
+    assert not [r for r in rows if r["kind"] == "polygon"]
+    tiles = {layer: {(r["x"], r["y"]) for r in rows if r["layer"] == layer} for layer in "ab"}
+    assert tiles["b"] < tiles["a"] and len(tiles["a"]) == 4
+
+
+def test_members_know_their_relations(spark):
+    relations = spark.createDataFrame([(1, {"type": "route", "ref": "A"}), (2, {"type": "route", "ref": "B"}), (3, {"type": "site"})], "id bigint, tags map<string,string>")
+    members = spark.createDataFrame([(2, "way", 8, 0, None), (1, "way", 8, 0, "main"), (1, "way", 8, 3, "main"), (3, "way", 8, 0, ""), (1, "node", 8, 0, "")], "relation_id bigint, member_type string, member_ref bigint, member_pos int, role string")
+
+    def handle(feature):
+        if feature["relations"] is not None and len(feature["relations"]):
+            yield {"layer": "route", "attrs": {"refs": ",".join(dict(x["tags"])["ref"] + ":" + x["role"] for x in feature["relations"])}}
+
+    seen = []
+    profile = Profile("r", [Handler(TagPresent("highway"), function=handle)], member_relations=TagIn("type", ("route",)), preprocess={"ways": lambda df: seen.append(1) or df.filter("way_id != 9")})
+    rows = Engine(spark, profile).add_osm("osm", *small_map(spark), relations, members).features().collect()
+    assert [(r["id"], r["attrs"]) for r in rows] == [(82, {"refs": "A:main,B:"})] and seen
+
+
+def test_stretches_of_a_line(spark):
+    """Attributes of parts of a line, later ones over earlier ones, equal neighbours joined."""
+    import numpy as np
+
+    from terrane.operators.render import _stretched
+
+    line = np.array([[0.0, 0.0], [1.0, 0.0]])
+    stretches = [{"start_at": 0.2, "end_at": 0.6, "attrs": {"a": "1"}}, {"start_at": 0.5, "end_at": 0.8, "attrs": {"a": "2", "b": "x"}}, {"start_at": 0.8, "end_at": 1.2, "attrs": {"a": "2", "b": "x"}}]
+    got = [(p[:, 0].round(9).tolist(), own) for p, own in _stretched(line, stretches, {"k": "v"})]
+    assert got == [([0.0, 0.2], {"k": "v"}), ([0.2, 0.5], {"k": "v", "a": "1"}), ([0.5, 1.0], {"k": "v", "a": "2", "b": "x"})]
+    struct = F.array(*[F.struct(F.lit(s["start_at"]).alias("start_at"), F.lit(s["end_at"]).alias("end_at"), F.create_map(*[F.lit(x) for p in s["attrs"].items() for x in p]).alias("attrs")) for s in stretches])
+    profile = Profile("s", [Handler(TagIn("highway", ("path",)), {"layer": "l", "maxzoom": 0, "stretches": struct})], RenderOptions(render_maxzoom=0, min_size_at_max=0.0))
+    rows = Engine(spark, profile).add_osm("osm", *small_map(spark)).rendered().collect()
+    assert sorted(r["attrs"].get("a", "") for r in rows) == ["", "1", "2"]
+
+
+def test_failures_are_counted(spark):
+    def bad(_):
+        raise RuntimeError("no")
+
+    profile = Profile("f", [Handler(TRUE, function=bad), Handler(TRUE, {"layer": "x", "maxzoom": 0})], RenderOptions(render_maxzoom=0), post_process_layer={"x": bad})
+    engine = Engine(spark, profile).add_features("osm", inputs(spark))
+    assert engine.rendered().count() > 0
+    assert engine.failures["handler"] == 17 and engine.failures["hook"] >= 1
+
+
+def test_kernel_runs_once_in_a_build(spark):
+    """One cutting stage, whatever limits, hooks and merges follow."""
+    profile = Profile("o", [Handler(TRUE, {"layer": "a"}), Handler(TRUE, {"layer": "b"})], RenderOptions(render_maxzoom=3, grid_px=32.0, grid_limit=2), merge={"a": {"min_length": 0.0}}, post_process_layer={"a": lambda g: g, "b": lambda g: g})
+    plan = Engine(spark, profile).add_features("osm", inputs(spark)).rendered()._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInPandas cut(") == 1
+
+
+def test_partial_evaluation_keeps_what_may_still_hold():
+    assert GeometryIs("any").partial({"geometry": "line"}) == TRUE
+    assert GeometryIs("polygon").partial({"geometry": "line"}) == GeometryIs("polygon") and GeometryIs("line").partial({"geometry": "polygon"}) == GeometryIs("line")
+    assert GeometryIs("point").partial({"geometry": "line"}) == FALSE and GeometryIs("line").partial({"geometry": "line"}) == TRUE
+    assert SchemaPlan.load("layers: [{id: a, features: [{geometry: line}]}]").uses("x") and not SchemaPlan.load("layers: [{id: a, features: [{source: y, geometry: line}]}]").uses("x")
 
 
 def test_sorted_groups_over_batches():
