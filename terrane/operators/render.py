@@ -221,7 +221,8 @@ def render(features: DataFrame, options: RenderOptions = RenderOptions(), derive
         "layer", "id", "kind", F.flatten(F.flatten("shape")).alias("xy"), F.aggregate("shape", F.array().cast("array<int>"), lambda a, p: F.concat(a, F.array(F.coalesce(F.element_at(F.when(F.size(a) > 0, a), -1), F.lit(0)) + F.size(p)))).alias("ends"),
         "minzoom", "maxzoom", "sort_key", F.to_json("attrs").alias("attrs_text"), F.to_json("attr_zooms").alias("zooms_text"), "min_size", "min_size_at_max", "buffer", "mode", "stretches",
     )
-    made = shaped.mapInPandas(cut, _CUT)
+    # cutting costs far more time than its bytes tell, so small shuffle partitions must not have been joined into few tasks
+    made = shaped.repartition(kernel_partitions(shaped), "id", "layer").mapInPandas(cut, _CUT)
     attrs = _shown(F.from_json("attrs_text", "map<string,string>"), F.from_json("zooms_text", "map<string,int>"))
     cell = F.col("cell") if derives and options.grid_px else F.lit(None).cast("bigint")
     slices = made.select("layer", "id", "kind", "z", "x", "y", "xy", "ends", "sort_key", cell.alias("cell"), attrs.alias("attrs"), "filled")

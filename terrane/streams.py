@@ -90,8 +90,9 @@ KERNEL_BYTES = 32 << 20
 
 
 def kernel_partitions(df) -> int:
-    """How many tasks a CPU-bound kernel should have: the session's shuffle partitions, and more where the files read are large."""
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """How many tasks a CPU-bound kernel should have: two a core and the session's shuffle partitions at least, more where the files read are large."""
+    spark = df.sparkSession
+    least = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
     return max(least, -(-sum(n for n in sizes if n < 1 << 60) // KERNEL_BYTES))  # a leaf of unknown size is told by a huge one
