@@ -29,7 +29,7 @@ def roads_and_buildings(maxzoom: int = 8) -> Profile:
     return Profile(
         "sample",
         [
-            Handler(And((TagPresent("highway"), GeometryIs("line"))), {"layer": "road", "minzoom": 4, "maxzoom": maxzoom, "attrs": F.create_map(F.lit("class"), F.col("tags")["highway"])}, layers=("road",)),
+            Handler(And((TagPresent("highway"), GeometryIs("line"))), {"layer": "road", "kind": "line", "minzoom": 4, "maxzoom": maxzoom, "attrs": F.create_map(F.lit("class"), F.col("tags")["highway"])}, layers=("road",)),
             Handler(And((TagPresent("building"), GeometryIs("polygon"))), {"layer": "building", "minzoom": 6, "maxzoom": maxzoom, "attrs": F.create_map(F.lit("kind"), F.col("tags")["building"])}, layers=("building",)),
         ],
         options,
