@@ -294,7 +294,9 @@ class Engine:
         derives = self.profile.derives
         made = r.label_limited(r.render(self.features(), self.profile.options, derives, self._tell("shape")), self.profile.options, derives)
         made = post_processed(made, self.profile, self._tell("hook"))
-        return r.merged(made, self.profile.merge, self._tell("merge")) if self.profile.merge else made
+        p = self.profile
+        merge = {k: v for k, v in p.merge.items() if k in chosen_layers(list(p.merge), p.only_layers, p.exclude_layers, p.depends_on)}
+        return r.merged(made, merge, self._tell("merge")) if merge else made
 
     def tiles(self, skip_filled: bool = False) -> DataFrame:
         return r.encode_tiles(self.rendered(), skip_filled=skip_filled)

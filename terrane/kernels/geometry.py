@@ -581,6 +581,36 @@ def union(polygons: list[Polygon], grid: float = 1e-6) -> list[Polygon]:
     return overlay([polygons], lambda w: w[:, 0] != 0, grid)
 
 
+def clusters(polygons: list[Polygon]) -> list[list[Polygon]]:
+    """Groups of polygons whose boxes touch, directly or through others: only these can have anything in common."""
+    boxes = np.array([[*p[0].min(axis=0), *p[0].max(axis=0)] for p in polygons]).reshape(-1, 4)
+    order = np.argsort(boxes[:, 0], kind="stable")
+    owner = list(range(len(polygons)))
+
+    def root(k: int) -> int:
+        while owner[k] != k:
+            owner[k] = owner[owner[k]]
+            k = owner[k]
+        return k
+
+    open_: list[int] = []
+    for k in order.tolist():
+        open_ = [j for j in open_ if boxes[j, 2] >= boxes[k, 0]]
+        for j in open_:
+            if boxes[j, 1] <= boxes[k, 3] and boxes[k, 1] <= boxes[j, 3]:
+                owner[root(j)] = root(k)
+        open_.append(k)
+    found: dict[int, list[Polygon]] = {}
+    for k, polygon in enumerate(polygons):
+        found.setdefault(root(k), []).append(polygon)
+    return list(found.values())
+
+
+def merged_union(polygons: list[Polygon], grid: float = 1e-6) -> list[Polygon]:
+    """``union`` of each cluster; polygons that meet no other stay as they are."""
+    return [q for some in clusters(polygons) for q in (some if len(some) == 1 else union(some, grid))]
+
+
 def difference(a: list[Polygon], b: list[Polygon], grid: float = 1e-6) -> list[Polygon]:
     return overlay([a, b], lambda w: (w[:, 0] != 0) & (w[:, 1] == 0), grid)
 

@@ -294,7 +294,7 @@ def merged(rendered: DataFrame, layers: dict[str, dict], failed: Callable[[], No
             else:
                 polygons = g.nest_all([parts_of(xy, ends) for xy, ends in zip(group["xy"], group["ends"])])
                 near = p.get("min_distance", 0.0)
-                whole = g.buffered(g.buffered(polygons, near / 2), -near / 2) if near else polygons if len(polygons) == 1 else g.union(polygons)
+                whole = g.buffered(g.buffered(polygons, near / 2), -near / 2) if near else g.merged_union(polygons)
                 whole = [[r for k, r in enumerate(q) if k == 0 or abs(g.signed_area(r)) >= p.get("min_hole_area", 0.0)] for q in whole if g.area(q) >= p.get("min_area", 0.0)]
                 shapes = whole
         except (ValueError, IndexError, ZeroDivisionError):  # the features stay as they were

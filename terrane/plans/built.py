@@ -236,14 +236,20 @@ layers:
 """
 
 
-def _schema_engine(t: Tables, text: str, maxzoom: int = 8, **options) -> Engine:
+def _schema_engine(t: Tables, text: str, maxzoom: int = 8, only: list[str] | None = None, **options) -> Engine:
     from terrane.rules.schema import SchemaPlan
 
-    return _engine(t, Profile.of(SchemaPlan.load(text), options=r.RenderOptions(render_maxzoom=maxzoom, **options)))
+    return _engine(t, Profile.of(SchemaPlan.load(text), options=r.RenderOptions(render_maxzoom=maxzoom, **options), only_layers=only))
 
 
 @query("qry10_schema_build")
 def qry10(t: Tables):
+    """A small schema over all sources, down to encoded tiles."""
+    return _schema_engine(t, POWER).tiles().select("z", "x", "y", "n_features")
+
+
+@query("qry10_basemap_build")
+def qry10_basemap(t: Tables):
     """A build of the basemap schema over all sources, down to encoded tiles."""
     return _schema_engine(t, BASEMAP).tiles().select("z", "x", "y", "n_features")
 
@@ -261,8 +267,8 @@ SELECT id, CAST(z AS INTEGER) AS z, CAST((tx + CAST(pow(2, z) AS BIGINT)) % CAST
 
 @query("qry10_schema_points", SCHEMA_POINTS)
 def qry10_points(t: Tables):
-    """The point labels of the same build, with the attributes that each zoom shows."""
-    made = _schema_engine(t, BASEMAP).rendered().filter("layer = 'label' and pmod(id, 10) = 1")
+    """The point labels of the basemap, with the attributes that each zoom shows."""
+    made = _schema_engine(t, BASEMAP, only=["label"]).rendered().filter("pmod(id, 10) = 1")
     return made.select("id", "z", "x", "y", "sort_key", F.col("attrs")["kind"].alias("kind"), F.col("attrs")["name"].alias("name"))
 
 

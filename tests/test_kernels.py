@@ -150,3 +150,12 @@ def test_lines_and_polygons_round_trip():
     back = mvt.parts_of("polygon", mvt.commands("polygon", rings))
     assert len(back) == 1 and len(back[0]) == 2 and g.area(back[0]) == 9100
     assert mvt.commands("line", [np.array([[0, 0], [0.001, 0]])]) == []
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 20), st.integers(0, 20), st.integers(1, 6), st.integers(1, 6)), min_size=1, max_size=9))
+def test_union_by_clusters_covers_the_same(rects):
+    polygons = [[g.closed(np.array([[x, y], [x + w, y], [x + w, y + h], [x, y + h]], dtype=float))] for x, y, w, h in rects]
+    parts = g.clusters(polygons)
+    assert sum(map(len, parts)) == len(polygons)
+    assert abs(sum(map(g.area, g.merged_union(polygons))) - len({(i, j) for x, y, w, h in rects for i in range(x, x + w) for j in range(y, y + h)})) < 1e-6
