@@ -173,7 +173,7 @@ def test_label_grid_and_merge(spark):
     assert all(r["count"] <= 2 for r in top)
     joined = merged(render(sample_features(spark), RenderOptions(buffer=0)), {"road": {}})
     rows = joined.filter("layer = 'road' and z = 2").collect()
-    assert len(rows) == 4 and all(len(r["parts"]) == 1 for r in rows) and {r["id"] for r in rows} <= {2000, 2002, 2005, 2007, 2003}
+    assert len(rows) == 4 and all(len(r["ends"]) == 1 for r in rows) and {r["id"] for r in rows} <= {2000, 2002, 2005, 2007, 2003}
     two = spark.createDataFrame([("area", k, "polygon", [[[x, 0.2], [x + 0.3, 0.2], [x + 0.3, 0.6], [x, 0.6], [x, 0.2]]], 0, 0, 0, {"a": "b"}) for k, x in ((11, 0.1), (12, 0.3))], FEATURE)
     whole = merged(render(two, RenderOptions(buffer=0)), {"area": {"min_area": 1.0}}).collect()
     assert len(whole) == 1 and whole[0]["id"] == 10
