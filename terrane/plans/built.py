@@ -161,7 +161,15 @@ def qry05(t: Tables):
     return _engine(t, profile).rendered().select("id", "z", "x", "y")
 
 
-@query("qry09_nodes_only")
+NODE_TILES = f"""WITH {NODES}, placed AS (SELECT (lon + 180) / 360 AS wx, {WORLD_Y} AS wy FROM (SELECT lon, lat FROM cur_node WHERE lat IS NOT NULL AND lon IS NOT NULL AND (tags['name'] <> '' OR tags['ref'] <> '')) n),
+zoomed AS (SELECT *, unnest(generate_series(3, 6)) AS z FROM placed),
+spot AS (SELECT *, wx * pow(2, z) AS sx, wy * pow(2, z) AS sy, 4.0 / 256 + 0.1 / 4096 AS b FROM zoomed),
+col AS (SELECT *, unnest(generate_series(CAST(floor(sx - b) AS BIGINT), CAST(floor(sx + b) AS BIGINT))) AS tx FROM spot),
+tile AS (SELECT *, unnest(generate_series(greatest(CAST(floor(sy - b) AS BIGINT), 0), least(CAST(floor(sy + b) AS BIGINT), CAST(pow(2, z) AS BIGINT) - 1))) AS ty FROM col)
+SELECT CAST(z AS INTEGER) AS z, CAST((tx + CAST(pow(2, z) AS BIGINT)) % CAST(pow(2, z) AS BIGINT) AS INTEGER) AS x, CAST(ty AS INTEGER) AS y, count(*) AS n FROM tile GROUP BY ALL"""
+
+
+@query("qry09_nodes_only", NODE_TILES)
 def qry09(t: Tables):
     options = r.RenderOptions(render_maxzoom=6)
     profile = Profile("nodes", [Handler(Or((TagPresent("name"), TagPresent("ref"))), {"layer": "node", "minzoom": 3, "maxzoom": 6})], options)
