@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from terrane.operators import osm, spatial
+from terrane.operators import clusters, osm, spatial
 from terrane.plans.points import NODES, RELATIONS, TAGS_TEXT, WAYS, current_nodes, current_relations, current_ways, event_points, tags_text
 from terrane.plans.points import EVENTS
 from terrane.plans.registry import Tables, query
-from terrane.session import durable
 
 REFS = "ref AS (SELECT way_id, len(node_ids) AS n, generate_subscripts(node_ids, 1) - 1 AS pos, unnest(node_ids) AS node_id FROM cur_way)"
 PLACED = "placed AS (SELECT way_id, n, pos, node_id, lon, lat FROM ref JOIN cur_node ON cur_node.id = node_id WHERE lon IS NOT NULL AND lat IS NOT NULL), whole AS (SELECT *, count(*) OVER (PARTITION BY way_id) AS found FROM placed)"
@@ -164,18 +163,16 @@ def _close_pairs(p):
 
 @query("agg21_components", f"WITH RECURSIVE {EVENTS}, p AS (SELECT event_id, lon, lat FROM ev WHERE event_type = 'purchase'), e AS (SELECT a.event_id AS a, b.event_id AS b FROM p a JOIN p b ON a.event_id <> b.event_id AND abs(a.lon - b.lon) <= 0.8 AND abs(a.lat - b.lat) <= 0.8 AND pow(a.lon - b.lon, 2) + pow(a.lat - b.lat, 2) <= 0.64), r AS (SELECT DISTINCT a AS node, a AS seen FROM e UNION SELECT node, b FROM r JOIN e ON e.a = r.seen) SELECT node, min(seen) AS component FROM r GROUP BY node")
 def agg21(t: Tables):
-    return _pair_components(_close_pairs(event_points(t).filter("event_type = 'purchase'")))
+    return _close_components(event_points(t).filter("event_type = 'purchase'"))
 
 
 @query("agg21_components_all_events")
 def agg21_all(t: Tables):
-    return _pair_components(_close_pairs(event_points(t)))
+    return _close_components(event_points(t))
 
 
-def _pair_components(pairs):
-    from terrane.operators.hierarchy import components
-
-    return components(durable(pairs.select(F.col("a").alias("parent"), F.col("b").alias("child"))))
+def _close_components(p):
+    return clusters.close_components(p.select(F.col("event_id").alias("key"), "lon", "lat"), 0.8)
 
 
 @query("qry06_all_tagged", f"WITH {NODES} SELECT id, {TAGS_TEXT.format('tags')} AS tags, CAST(floor((lon + 180) / 360 * 16384) AS BIGINT) AS x FROM cur_node WHERE cardinality(tags) > 0 AND lon BETWEEN -180 AND 180")
