@@ -117,7 +117,7 @@ def join07(t: Tables):
 @query("join07_only_first", f"WITH {EVENTS}, {RECTS} SELECT event_id, min(area) AS area FROM ev JOIN rect ON lon >= x0 AND lon < x0 + w AND lat >= y0 AND lat < y0 + w GROUP BY event_id")
 def join07_first(t: Tables):
     points = event_points(t).select(F.col("event_id").alias("key"), "lon", "lat")
-    return spatial.containing(points, rectangles(t)).groupBy(F.col("key").alias("event_id")).agg(F.min("area").alias("area"))
+    return spatial.first_containing(points, rectangles(t)).select(F.col("key").alias("event_id"), "area")
 
 
 @query("join08_boxes_meet", f"WITH {RECTS} SELECT a.area AS area_a, b.area AS area_b FROM rect a JOIN rect b ON a.area < b.area AND a.x0 <= b.x0 + b.w AND b.x0 <= a.x0 + a.w AND a.y0 <= b.y0 + b.w AND b.y0 <= a.y0 + a.w")
