@@ -330,7 +330,7 @@ def encode_tiles(rendered: DataFrame, compression: str = "gzip", skip_filled: bo
     concatenation of its layers, so no task needs all features of a heavy tile.
     """
 
-    def layer(group: pd.DataFrame, known: dict[str, dict]) -> Iterator[pd.DataFrame]:
+    def layer(group: pd.DataFrame, known: dict[str, dict]) -> Iterator[tuple]:
         features = []
         for id_, kind, xy, ends, text in zip(group["id"], group["kind"], group["xy"], group["ends"], group["attrs_text"]):
             parts = parts_of(xy, ends)
@@ -341,17 +341,27 @@ def encode_tiles(rendered: DataFrame, compression: str = "gzip", skip_filled: bo
         name = group["layer"].iloc[0]
         data = mvt.encode({name: features})
         if data:
-            yield pd.DataFrame({"z": [group["z"].iloc[0]], "x": [group["x"].iloc[0]], "y": [group["y"].iloc[0]], "layer": [name], "data": [data], "n": [len(features)], "filled": [bool(group["filled"].all())]})
+            yield group["z"].iloc[0], group["x"].iloc[0], group["y"].iloc[0], name, data, len(features), bool(group["filled"].all())
 
     ordered = rendered.select("z", "x", "y", "layer", "sort_key", "id", "kind", "xy", "ends", F.to_json("attrs").alias("attrs_text"), "filled")
     spread = ordered.repartition(kernel_partitions(ordered), "z", "x", "y", "layer").sortWithinPartitions("z", "x", "y", "layer", "sort_key", "id")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, dict] = {}
+        rows: list[tuple] = []
+        names = ["z", "x", "y", "layer", "data", "n", "filled"]
+        held = 0
         for group in sorted_groups(frames, ["z", "x", "y", "layer"]):
             if len(known) > 50_000:
                 known.clear()
-            yield from layer(group, known)
+            for row in layer(group, known):
+                rows.append(row)
+                held += len(row[4])
+            if len(rows) >= 500 or held > 4 << 20:
+                yield pd.DataFrame(rows, columns=names)
+                rows, held = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
 
     layers = spread.mapInPandas(run, "z int, x int, y int, layer string, data binary, n bigint, filled boolean")
     tiles = layers.groupBy("z", "x", "y").agg(F.array_sort(F.collect_list(F.struct("layer", "data"))).alias("parts"), F.sum("n").alias("n_features"), F.bool_and("filled").alias("filled"))

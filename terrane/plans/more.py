@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 
 from terrane.functions import geo, hashing, parse, tags, text
 from terrane.kernels import geometry as g
+from terrane.kernels import mvt
 from terrane.operators import osm, stats, tiling
 from terrane.plans.analytics import STATS, WEIGHTS, layer_stats, tile_loads, weights
 from terrane.plans.analytics import TILE_LOADS
 from terrane.plans.built import _engine, _zone_features, roads_and_buildings
 from terrane.plans.points import EVENTS, NODES, WAYS, current_nodes, current_ways, event_points
 from terrane.plans.registry import Tables, query
-from terrane.session import durable
 from terrane.plans.rules import FEATURES, _tested, source_features
 from terrane.plans.scalars import LENIENT, SPELLED, spelled
 from terrane.plans.tiles import CONTENT, events_on_tiles, ON_TILES, tile_contents
@@ -411,6 +411,9 @@ def udf06(t: Tables):
 def snk15(t: Tables):
     from terrane.operators import render as r
 
-    rendered = durable(_engine(t, roads_and_buildings()).rendered())
-    sizes = lambda how: r.encode_tiles(rendered, how).select("z", "x", "y", F.length("data").alias(how))
-    return sizes("gzip").join(sizes("none"), ["z", "x", "y"])
+    def sizes(frames):
+        for frame in frames:
+            raw = [bytes(d) for d in frame["data"]]
+            yield frame[["z", "x", "y"]].assign(gzip=[len(mvt.compressed(d, "gzip")) for d in raw], none=[len(d) for d in raw])
+
+    return r.encode_tiles(_engine(t, roads_and_buildings()).rendered(), "none").select("z", "x", "y", "data").mapInPandas(sizes, "z int, x int, y int, gzip int, none int")

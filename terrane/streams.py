@@ -90,9 +90,12 @@ KERNEL_BYTES = 32 << 20
 
 
 def kernel_partitions(df) -> int:
-    """How many tasks a CPU-bound kernel should have: two a core and the session's shuffle partitions at least, more where the files read are large."""
+    """How many tasks a CPU-bound kernel should have: two a core and the session's shuffle partitions at least, more where the files read are large or the rows were made in more."""
     spark = df.sparkSession
     least = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
-    return max(least, -(-sum(n for n in sizes if n < 1 << 60) // KERNEL_BYTES))  # a leaf of unknown size is told by a huge one
+    found = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    leaves = [found.apply(k) for k in range(found.size())]
+    # a checkpointed leaf keeps the optimizer's guess of the plan before it, which after joins is far too large; its partitions are known
+    made = [leaf.rdd().getNumPartitions() for leaf in leaves if leaf.nodeName() == "LogicalRDD"]
+    sizes = [int(str(leaf.stats().sizeInBytes())) for leaf in leaves if leaf.nodeName() != "LogicalRDD"]
+    return max(least, *made, -(-sum(n for n in sizes if n < 1 << 60) // KERNEL_BYTES))  # a leaf of unknown size is told by a huge one
