@@ -12,18 +12,22 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrane.functions import geo
+from terrane.kernels import batch as b
 from terrane.kernels import geometry as g
 from terrane.kernels import mvt
 from terrane.kernels.lines import merge_lines
 from terrane.operators.tiling import explode_zooms, limit_per_cell, point_tiles
-from terrane.streams import kernel_partitions, over_some_groups, sorted_groups
+from terrane.streams import kernel_partitions, lists, over_some_groups, whole_groups
 
 FEATURE = "layer string, id bigint, kind string, shape array<array<array<double>>>, minzoom int, maxzoom int, sort_key int, attrs map<string,string>"
 #: Columns that a feature may have besides: the zoom from which each attribute is shown, least sizes and buffer in pixels in place of the build's,
@@ -38,6 +42,10 @@ RENDERED = "layer string, id bigint, kind string, z int, x int, y int, xy array<
 _NAMES = [c.split()[0] for c in RENDERED.split(", ")]
 _CUT = "layer string, id bigint, kind string, z int, x int, y int, xy array<double>, ends array<int>, sort_key int, cell bigint, attrs_text string, zooms_text string, filled boolean"
 _CUT_NAMES = [c.split()[0] for c in _CUT.split(", ")]
+_ARROW = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "array<double>": pa.list_(pa.float64()), "array<int>": pa.list_(pa.int32())}
+_SHAPED_ARROW = pa.schema([(n, _ARROW[t]) for n, t in (c.split() for c in "layer string, id bigint, kind string, xy array<double>, ends array<int>, minzoom int, maxzoom int, sort_key int, attrs_text string, zooms_text string, min_size double, min_size_at_max double, buffer double, mode string".split(", "))])
+#: Points that one call of a kernel should take, copies of them for the tiles included.
+BATCH_POINTS = 300_000
 _ERRORS = (ValueError, IndexError, TypeError, ZeroDivisionError)
 
 
@@ -180,42 +188,61 @@ def render(features: DataFrame, options: RenderOptions = RenderOptions(), derive
     spread = with_optional(features).filter("shape is not null and minzoom <= maxzoom")
     plain_point = (F.col("kind") == "point") & F.coalesce(F.col("made") != "python", F.lit(True))
 
+    def one_by_one(frame: pd.DataFrame, zooms_only: tuple[int, ...] | None = None) -> Iterator[pd.DataFrame]:
+        rows: list[tuple] = []
+        columns = ("layer", "id", "kind", "xy", "ends", "minzoom", "maxzoom", "sort_key", "attrs_text", "zooms_text", "min_size", "min_size_at_max", "buffer", "mode", "stretches")
+        for layer, id_, kind, xy, ends, low, high, key, attrs, zooms, size, size_at_max, buffer, mode, stretches in zip(*(frame[c] for c in columns)):
+            buffer = options.buffer if buffer is None or buffer != buffer else buffer
+            try:
+                parts = parts_of(xy, ends)
+                if mode is not None or kind == "point":
+                    points = parts[0] if kind == "point" else [_point_of(mode, _source_kind(mode, parts), parts)]
+                    for point in points:
+                        for zoom in range(low, high + 1) if point is not None else ():
+                            rows += [(layer, id_, "point", zoom, x, y, at, [1], key, cell if len(points) == 1 else None, attrs, zooms, False) for x, y, at, cell in _on_tiles(point, zoom, buffer, options)]
+                    continue
+                given = [(parts, attrs)]
+                if stretches is not None and len(stretches) and kind == "line":
+                    given = [([line], json.dumps(own)) for part in parts for line, own in _stretched(part, stretches, json.loads(attrs or "{}"))]
+            except _ERRORS:
+                if failed:
+                    failed()
+                continue
+            for zoom in zooms_only or range(low, high + 1):
+                least = options.at(zoom)[0]
+                own_size = size_at_max if zoom >= options.render_maxzoom else size
+                least = least if own_size is None or own_size != own_size else own_size
+                for some, text in given:
+                    try:
+                        rows += [(layer, id_, kind, zoom, x, y, *flat(made), key, None, text, zooms, filled) for x, y, made, filled in _pieces(kind, some, zoom, options, least, buffer)]
+                    except _ERRORS:
+                        if failed:
+                            failed()
+                if len(rows) >= 4000:
+                    yield _frame(rows, _CUT_NAMES)
+                    rows = []
+        if rows:
+            yield _frame(rows, _CUT_NAMES)
+
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows: list[tuple] = []
-            columns = ("layer", "id", "kind", "xy", "ends", "minzoom", "maxzoom", "sort_key", "attrs_text", "zooms_text", "min_size", "min_size_at_max", "buffer", "mode", "stretches")
-            for layer, id_, kind, xy, ends, low, high, key, attrs, zooms, size, size_at_max, buffer, mode, stretches in zip(*(frame[c] for c in columns)):
-                buffer = options.buffer if buffer is None or buffer != buffer else buffer
-                try:
-                    parts = parts_of(xy, ends)
-                    if mode is not None or kind == "point":
-                        points = parts[0] if kind == "point" else [_point_of(mode, _source_kind(mode, parts), parts)]
-                        for point in points:
-                            for zoom in range(low, high + 1) if point is not None else ():
-                                rows += [(layer, id_, "point", zoom, x, y, at, [1], key, cell if len(points) == 1 else None, attrs, zooms, False) for x, y, at, cell in _on_tiles(point, zoom, buffer, options)]
-                        continue
-                    given = [(parts, attrs)]
-                    if stretches is not None and len(stretches) and kind == "line":
-                        given = [([line], json.dumps(own)) for part in parts for line, own in _stretched(part, stretches, json.loads(attrs or "{}"))]
-                except _ERRORS:
-                    if failed:
-                        failed()
-                    continue
-                for zoom in range(low, high + 1):
-                    least = options.at(zoom)[0]
-                    own_size = size_at_max if zoom >= options.render_maxzoom else size
-                    least = least if own_size is None or own_size != own_size else own_size
-                    for some, text in given:
+            batch = pa.RecordBatch.from_pandas(frame[_SHAPED_ARROW.names], _SHAPED_ARROW, preserve_index=False)
+            stretched = np.array([s is not None and len(s) > 0 for s in frame["stretches"]], dtype=bool)
+            known = _Shapes.of(batch, stretched) if options.simplify == "douglas_peucker" else None
+            together = np.zeros(len(frame), dtype=bool) if known is None else known.plain
+            if not together.all():
+                yield from one_by_one(frame[~together])
+            for zoom in range(int(known.low[together].min()), int(known.high[together].max()) + 1) if together.any() else ():
+                for kind in ("line", "polygon"):
+                    for rows in known.portions(kind, zoom):
                         try:
-                            rows += [(layer, id_, kind, zoom, x, y, *flat(made), key, None, text, zooms, filled) for x, y, made, filled in _pieces(kind, some, zoom, options, least, buffer)]
+                            if known.weight > BATCH_POINTS:
+                                raise ValueError("too large a shape to be cut at once")
+                            made = known.cut(kind, rows, zoom, options)
                         except _ERRORS:
-                            if failed:
-                                failed()
-                    if len(rows) >= 4000:
-                        yield _frame(rows, _CUT_NAMES)
-                        rows = []
-            if rows:
-                yield _frame(rows, _CUT_NAMES)
+                            yield from one_by_one(frame.iloc[rows], (zoom,))
+                            continue
+                        yield from _cut_rows(batch, zoom, *made)
 
     shaped = spread.filter(~plain_point).select(
         "layer", "id", "kind", F.flatten(F.flatten("shape")).alias("xy"), F.aggregate("shape", F.array().cast("array<int>"), lambda a, p: F.concat(a, F.array(F.coalesce(F.element_at(F.when(F.size(a) > 0, a), -1), F.lit(0)) + F.size(p)))).alias("ends"),
@@ -229,6 +256,135 @@ def render(features: DataFrame, options: RenderOptions = RenderOptions(), derive
     return _points(spread.filter(plain_point), options).unionByName(slices)
 
 
+@dataclass
+class _Shapes:
+    """The lines and polygons of an Arrow batch as flat points; ``plain`` are the rows that can be cut together."""
+
+    points: np.ndarray
+    offsets: np.ndarray  # of the parts
+    parts: np.ndarray  # the first part of each row
+    kind: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    size: np.ndarray
+    size_at_max: np.ndarray
+    buffer: np.ndarray
+    plain: np.ndarray
+    measured: dict
+    weight: float = 0.0
+
+    @classmethod
+    def of(cls, batch: pa.RecordBatch, stretched: np.ndarray) -> _Shapes | None:
+        """None if a row is not made of pairs of numbers."""
+        column = lambda name: batch.column(name).to_numpy(zero_copy_only=False)
+        xy, at = lists(batch.column("xy"))
+        ends, parts = lists(batch.column("ends"))
+        which, rank = b.repeated(np.diff(parts))
+        last = np.zeros(batch.num_rows, dtype=np.int64)
+        some = np.diff(parts) > 0
+        last[some] = ends[parts[1:][some] - 1]
+        if (2 * last != np.diff(at)).any() or batch.column("ends").flatten().null_count:
+            return None
+        points = xy.astype(float).reshape(-1, 2)
+        stops = at[:-1][which] // 2 + ends
+        offsets = np.concatenate([[0], stops]).astype(np.int64)
+        kind = column("kind")
+        plain = some & pc.is_null(batch.column("mode")).to_numpy(zero_copy_only=False) & ~stretched & np.isin(kind, ("line", "polygon"))
+        odd = np.zeros(len(which), dtype=bool)
+        count = np.diff(offsets)
+        odd |= np.bincount(np.repeat(np.arange(len(count)), count), ~np.isfinite(points).all(axis=1), len(count)) > 0
+        odd |= count == 0
+        filled = np.flatnonzero(~odd)
+        open_ = np.zeros(len(which), dtype=bool)
+        open_[filled] = (points[offsets[:-1][filled]] != points[offsets[1:][filled] - 1]).any(axis=1)
+        odd |= open_ & (kind[which] == "polygon")
+        plain &= np.bincount(which, odd, batch.num_rows) == 0
+        return cls(points, offsets, parts, kind, column("minzoom"), column("maxzoom"), column("min_size").astype(float), column("min_size_at_max").astype(float), column("buffer").astype(float), plain, {})
+
+    def _weights(self, kind: str, rows: np.ndarray, zoom: int) -> np.ndarray:
+        """About how many points cutting each row handles."""
+        if "span" not in self.measured:
+            first, last = self.offsets[self.parts[:-1]], self.offsets[self.parts[1:]]
+            self.measured["span"], self.measured["n"] = np.zeros((len(first), 2)), last - first
+            some = np.flatnonzero(self.plain)
+            at, offsets = b.taken(np.stack([first, last], axis=1).ravel(), some * 2)
+            if len(some):
+                self.measured["span"][some] = np.maximum.reduceat(self.points[at], offsets[:-1]) - np.minimum.reduceat(self.points[at], offsets[:-1])
+            seg, part = b.segments(self.offsets)
+            way = np.abs(self.points[seg + 1] - self.points[seg]).sum(axis=1)
+            self.measured["way"] = np.bincount(np.repeat(np.arange(len(first)), np.diff(self.parts))[part], np.where(np.isfinite(way), way, 0), len(first))
+        span, n = self.measured["span"][rows] * (1 << zoom) + 2, self.measured["n"][rows]
+        if kind == "line":
+            return 3 * n + 3 * self.measured["way"][rows] * (1 << zoom)
+        return n * span[:, 0] + span[:, 1] * (n + 8 * span[:, 0])
+
+    def portions(self, kind: str, zoom: int) -> Iterator[np.ndarray]:
+        """The rows of a kind that are shown at a zoom, as many at once as ``BATCH_POINTS`` allows; ``weight`` is that of the rows given last."""
+        rows = np.flatnonzero(self.plain & (self.kind == kind) & (self.low <= zoom) & (self.high >= zoom))
+        if not len(rows):
+            return
+        weights = self._weights(kind, rows, zoom)
+        large = weights > BATCH_POINTS
+        for row, weight in zip(rows[large], weights[large]):
+            self.weight = float(weight)
+            yield np.array([row])
+        rows, weights = rows[~large], weights[~large]
+        portion = (np.cumsum(weights) // BATCH_POINTS).astype(np.int64)
+        for some in np.split(rows, np.flatnonzero(np.diff(portion)) + 1):
+            self.weight = 0.0
+            if len(some):
+                yield some
+
+    def cut(self, kind: str, rows: np.ndarray, zoom: int, options: RenderOptions):
+        """(row, x, y, number of parts, filled) on every tile, the points in tile pixels and the offsets of the parts."""
+        least, tolerance = options.at(zoom)
+        own = (self.size_at_max if zoom >= options.render_maxzoom else self.size)[rows]
+        least = np.where(np.isnan(own), least, own)
+        buffer = np.where(np.isnan(self.buffer[rows]), options.buffer, self.buffer[rows])
+        to_px = 256.0 * (1 << zoom)
+        extent = options.extents[zoom] if options.extents else None
+        which, rank = b.repeated(np.diff(self.parts)[rows])
+        at, offsets = b.taken(self.offsets, self.parts[:-1][rows][which] + rank)
+        points = self.points[at]
+        if kind == "line":
+            left = np.flatnonzero(b.lengths(points, offsets) * to_px >= least[which])
+            at, offsets = b.taken(offsets, left)
+            which = which[left]
+            points, offsets = b.douglas_peucker(points[at] * to_px, offsets, tolerance)
+            line, x, y, number, flat, parts = b.slice_lines(points / to_px, offsets, zoom, buffer[which], extent)
+            return rows[which[line]], x, y, number, np.zeros(len(x), dtype=bool), flat, parts
+        areas = np.abs(b.signed_areas(points, offsets))
+        whole = np.bincount(which, np.where(rank == 0, areas, -areas), len(rows))
+        left = np.flatnonzero((np.sqrt(areas) * to_px >= least[which]) & (np.sqrt(np.maximum(whole, 0)) * to_px >= least)[which])
+        if not len(left):
+            return rows[:0], rows[:0], rows[:0], rows[:0], rows[:0] > 0, points[:0], np.zeros(1, dtype=np.int64)
+        at, offsets = b.taken(offsets, left)
+        shown, which = np.unique(which[left], return_inverse=True)
+        points, offsets = b.douglas_peucker(points[at] * to_px, offsets, tolerance, True)
+        first = b.offsets_of(np.bincount(which, minlength=len(shown)))
+        polygon, x, y, number, filled, flat, parts = b.slice_polygons(points / to_px, offsets, first, zoom, buffer[shown], extent)
+        return rows[shown[polygon]], x, y, number, filled, flat, parts
+
+
+def _list_arrays(points: np.ndarray, offsets: np.ndarray, number: np.ndarray) -> tuple[pa.ListArray, pa.ListArray]:
+    """``xy`` and ``ends`` of rows of ``number`` parts each."""
+    parts = b.offsets_of(number)
+    starts = offsets[parts]
+    ends = offsets[1:] - np.repeat(starts[:-1], number)
+    flat = np.ascontiguousarray(points, dtype=float).ravel()
+    return pa.ListArray.from_arrays(pa.array((starts * 2).astype(np.int32)), pa.array(flat)), pa.ListArray.from_arrays(pa.array(parts.astype(np.int32)), pa.array(ends.astype(np.int32)))
+
+
+def _cut_rows(batch: pa.RecordBatch, zoom: int, row, x, y, number, filled, points, offsets) -> Iterator[pd.DataFrame]:
+    xy, ends = _list_arrays(points, offsets, number)
+    at = pa.array(row)
+    taken = {n: batch.column(n).take(at) for n in ("layer", "id", "kind", "sort_key", "attrs_text", "zooms_text")}
+    made = taken | {"z": pa.array(np.full(len(row), zoom, dtype=np.int32)), "x": pa.array(x.astype(np.int32)), "y": pa.array(y.astype(np.int32)), "xy": xy, "ends": ends, "cell": pa.nulls(len(row), pa.int64()), "filled": pa.array(filled)}
+    for start in range(0, len(row), 10_000):
+        # Arrow columns go back to Arrow without a Python object a row
+        yield pd.DataFrame({n: pd.arrays.ArrowExtensionArray(pa.chunked_array([made[n].slice(start, 10_000)])) for n in _CUT_NAMES})
+
+
 def _source_kind(mode: str, parts: list[np.ndarray]) -> str:
     """Whether the shape under a mode is a line or a polygon: told by the mode, or by whether it is closed."""
     if mode.startswith("line") or mode == "point_on_line":
@@ -282,6 +438,7 @@ def merged(rendered: DataFrame, layers: dict[str, dict], failed: Callable[[], No
         touched = touched | ((F.col("layer") == name) & (F.col("kind") == kind))
 
     def run(group: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        """One group, its features as they were if that fails."""
         first = group.iloc[0]
         p = dict(layers[first["layer"]])
         kind = kinds[first["layer"]]
@@ -319,8 +476,126 @@ def merged(rendered: DataFrame, layers: dict[str, dict], failed: Callable[[], No
 
     text = F.to_json(F.map_from_entries(F.array_sort(F.map_entries("attrs"))))
     known = rendered.withColumn("attr_text", F.when(touched, text)).withColumn("attr_key", F.when(touched, F.xxhash64("attr_text")).otherwise(0))
-    done = over_some_groups(known, touched, ["z", "x", "y", "layer", "attr_key"], keyed, RENDERED)
-    return done
+    if any(set(p) - {"kind", "min_length", "tolerance", "min_area", "min_hole_area"} for p in layers.values()):
+        return over_some_groups(known, touched, ["z", "x", "y", "layer", "attr_key"], keyed, RENDERED)
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = iter(batches)
+        awake: list[pa.RecordBatch] = []
+        for batch in held:  # sorted, so the idle rows come first
+            idle = batch.num_rows - int(pc.sum(batch.column("_active").cast(pa.int32())).as_py() or 0)
+            if idle:
+                yield batch.slice(0, idle).select(_NAMES)
+            if idle < batch.num_rows:
+                awake.append(batch.slice(idle))
+                break
+        # equal hashes of different attributes are told apart by the text
+        for batch, starts in whole_groups(chain(awake, held), ["z", "x", "y", "layer", "attr_text"]):
+            names = np.array(batch.column("layer").take(pa.array(starts)).to_pylist(), dtype=object)
+            for name in dict.fromkeys(names.tolist()):
+                chosen = np.flatnonzero(names == name)
+                rows, own = b.taken(np.append(starts, batch.num_rows), chosen)
+                some = batch if len(chosen) == len(starts) else batch.take(pa.array(rows))
+                try:
+                    done = (_merged_lines if kinds[name] == "line" else _merged_polygons)(some, own, layers[name])
+                except _ERRORS:
+                    for a, z in zip(own.tolist(), own[1:].tolist()):
+                        for frame in run(some.slice(a, z - a).to_pandas()):
+                            yield pa.RecordBatch.from_pandas(frame, _schema(batch), preserve_index=False)
+                    continue
+                yield from done
+
+    spread = F.when(F.col("_active"), 0).otherwise(1 + F.pmod(F.xxhash64("id"), F.lit(1024)))
+    keys = ["z", "x", "y", "layer", "attr_key"]
+    placed = known.withColumn("_active", F.coalesce(touched, F.lit(False))).repartition(kernel_partitions(known), *keys, spread).sortWithinPartitions("_active", *keys, "attr_text")
+    return placed.mapInArrow(together, RENDERED)
+
+
+def _schema(batch: pa.RecordBatch) -> pa.Schema:
+    return pa.schema([batch.schema.field(n).with_nullable(True) for n in _NAMES])
+
+
+def _merged_rows(batch: pa.RecordBatch, own: np.ndarray, group: np.ndarray, kind: str, xy: pa.ListArray, ends: pa.ListArray) -> Iterator[pa.RecordBatch]:
+    """Rows made of the groups ``group``; group k had the rows own[k]:own[k + 1]."""
+    first = pa.array(own[:-1][group])
+    ids = np.minimum.reduceat(batch.column("id").to_numpy(zero_copy_only=False), own[:-1])
+    ids = np.where(np.diff(own) > 1, ids // 10 * 10, ids)
+    keys = np.minimum.reduceat(batch.column("sort_key").to_numpy(zero_copy_only=False), own[:-1])
+    n = len(group)
+    made = {c: batch.column(c).take(first) for c in ("layer", "z", "x", "y", "attrs")}
+    made |= {"id": pa.array(ids[group].astype(np.int64)), "kind": pa.array([kind] * n, pa.string()), "xy": xy, "ends": ends, "sort_key": pa.array(keys[group].astype(np.int32)), "cell": pa.nulls(n, pa.int64()), "filled": pa.array(np.zeros(n, dtype=bool))}
+    whole = pa.RecordBatch.from_arrays([made[c] for c in _NAMES], names=_NAMES)
+    for start in range(0, n, 10_000):
+        yield whole.slice(start, 10_000)
+
+
+def _merged_lines(batch: pa.RecordBatch, own: np.ndarray, p: dict) -> Iterator[pa.RecordBatch]:
+    groups = len(own) - 1
+    points, offsets, row = _parts(batch)
+    least = p.get("min_length", 0.0)
+    if callable(least):
+        first = pa.array(own[:-1])
+        told = zip(batch.column("attrs").take(first).to_pylist(), batch.column("z").take(first).to_pylist())
+        least = np.array([least(dict(attrs or ()), z) for attrs, z in told], dtype=float)
+    of = np.repeat(np.arange(groups), np.diff(own))[row]
+    points, offsets, of = b.merge_lines(points, offsets, of, np.broadcast_to(np.asarray(least, dtype=float), groups), p.get("tolerance", -1.0))
+    number = np.bincount(of, minlength=groups)
+    left = np.flatnonzero(number)
+    return _merged_rows(batch, own, left, "line", *_list_arrays(points, offsets, number[left]))
+
+
+def _merged_polygons(batch: pa.RecordBatch, own: np.ndarray, p: dict) -> Iterator[pa.RecordBatch]:
+    points, offsets, row = _parts(batch)
+    rings = np.searchsorted(row, np.arange(batch.num_rows + 1))
+    areas = b.signed_areas(points, offsets)
+    bounds = offsets.tolist()
+    found: list[list[g.Polygon]] = []  # the clusters of all groups
+    of: list[int] = []
+    for k, (low, high) in enumerate(zip(own.tolist(), own[1:].tolist())):
+        polygons: list[g.Polygon] = []
+        for r in range(low, high):
+            first, last = int(rings[r]), int(rings[r + 1])
+            if last - first == 1 and bounds[last] - bounds[first] >= 4:
+                ring = points[bounds[first] : bounds[last]]
+                shut = g.closed(ring)
+                polygons.append([shut if (areas[first] if shut is ring else g.signed_area(shut)) > 0 else shut[::-1]])
+            else:
+                polygons += g.nest([points[bounds[m] : bounds[m + 1]] for m in range(first, last) if bounds[m + 1] - bounds[m] >= 4])
+        some = [polygons] if len(polygons) == 1 else g.clusters(polygons)
+        found += some
+        of += [k] * len(some)
+    shared = [k for k, c in enumerate(found) if len(c) > 1]
+    for start in range(0, len(shared), 1000):
+        some = shared[start : start + 1000]
+        made = b.unions([q for k in some for q in found[k]], np.repeat(np.arange(len(some)), [len(found[k]) for k in some]))
+        for k, whole in zip(some, made):
+            found[k] = whole
+    group, number, kept = [], [], []
+    for k, polygons in zip(of, found):
+        for polygon in polygons:
+            if g.area(polygon) >= p.get("min_area", 0.0):
+                shown = [r for m, r in enumerate(polygon) if m == 0 or abs(g.signed_area(r)) >= p.get("min_hole_area", 0.0)]
+                group.append(k)
+                number.append(len(shown))
+                kept += shown
+    flat_points = np.concatenate(kept) if kept else np.zeros((0, 2))
+    made_offsets = b.offsets_of(np.array([len(r) for r in kept], dtype=np.int64))
+    return _merged_rows(batch, own, np.array(group, dtype=np.int64), "polygon", *_list_arrays(flat_points, made_offsets, np.array(number, dtype=np.int64)))
+
+
+def _parts(batch: pa.RecordBatch, one: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The points of rendered rows, the offsets of their parts, and the row of each part; ``one`` are the rows of which only the first part counts."""
+    xy, at = lists(batch.column("xy"))
+    ends, parts = lists(batch.column("ends"))
+    row, rank = b.repeated(np.diff(parts))
+    stops = at[:-1][row] // 2 + ends
+    starts = np.where(rank == 0, at[:-1][row] // 2, np.concatenate([[0], stops[:-1]])).astype(np.int64)
+    points = xy.astype(float).reshape(-1, 2)
+    if one is not None and (one[row] & (rank > 0)).any() or (starts[1:] != stops[:-1]).any() or len(starts) and (starts[0] or stops[-1] != len(points)):
+        keep = np.flatnonzero(~(one[row] & (rank > 0))) if one is not None else np.arange(len(row))
+        took, offsets = b.taken(np.stack([starts, stops], axis=1).ravel(), keep * 2)
+        return points[took], offsets, row[keep]
+    return points, np.concatenate([[0], stops]).astype(np.int64), row
 
 
 def encode_tiles(rendered: DataFrame, compression: str = "gzip", skip_filled: bool = False) -> DataFrame:
@@ -330,40 +605,38 @@ def encode_tiles(rendered: DataFrame, compression: str = "gzip", skip_filled: bo
     concatenation of its layers, so no task needs all features of a heavy tile.
     """
 
-    def layer(group: pd.DataFrame, known: dict[str, dict]) -> Iterator[tuple]:
-        features = []
-        for id_, kind, xy, ends, text in zip(group["id"], group["kind"], group["xy"], group["ends"], group["attrs_text"]):
-            parts = parts_of(xy, ends)
-            attrs = known.get(text)
-            if attrs is None:
-                attrs = known[text] = json.loads(text) if text else {}
-            features.append({"id": int(id_), "kind": kind, "commands": mvt.commands(kind, parts[0] if kind == "point" else parts), "attrs": attrs})
-        name = group["layer"].iloc[0]
-        data = mvt.encode({name: features})
-        if data:
-            yield group["z"].iloc[0], group["x"].iloc[0], group["y"].iloc[0], name, data, len(features), bool(group["filled"].all())
-
     ordered = rendered.select("z", "x", "y", "layer", "sort_key", "id", "kind", "xy", "ends", F.to_json("attrs").alias("attrs_text"), "filled")
     spread = ordered.repartition(kernel_partitions(ordered), "z", "x", "y", "layer").sortWithinPartitions("z", "x", "y", "layer", "sort_key", "id")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, dict] = {}
-        rows: list[tuple] = []
-        names = ["z", "x", "y", "layer", "data", "n", "filled"]
-        held = 0
-        for group in sorted_groups(frames, ["z", "x", "y", "layer"]):
-            if len(known) > 50_000:
-                known.clear()
-            for row in layer(group, known):
-                rows.append(row)
-                held += len(row[4])
-            if len(rows) >= 500 or held > 4 << 20:
-                yield pd.DataFrame(rows, columns=names)
-                rows, held = [], 0
-        if rows:
-            yield pd.DataFrame(rows, columns=names)
-
-    layers = spread.mapInPandas(run, "z int, x int, y int, layer string, data binary, n bigint, filled boolean")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, starts in whole_groups(batches, ["z", "x", "y", "layer"]):
+            texts = batch.column("attrs_text").dictionary_encode()
+            known = [json.loads(text) if text else {} for text in texts.dictionary.to_pylist()] + [{}]
+            attrs = texts.indices.fill_null(len(known) - 1).to_pylist()
+            kinds = np.array([mvt.KINDS[k] for k in batch.column("kind").to_pylist()])
+            points, offsets, row = _parts(batch, kinds == mvt.KINDS["point"])
+            features = list(zip(batch.column("id").to_pylist(), kinds.tolist(), mvt.packed_commands(kinds, points, offsets, row), attrs))
+            del points
+            filled = np.logical_and.reduceat(batch.column("filled").to_numpy(zero_copy_only=False).astype(bool), starts)
+            names = batch.column("layer").take(pa.array(starts))
+            counts = np.diff(np.append(starts, batch.num_rows))
+            data, first, held = [], 0, 0
+
+            def made(first: int) -> pa.RecordBatch:
+                some = [k for k, d in enumerate(data, first) if d]
+                at = pa.array(starts[some])
+                return pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("z", "x", "y")), names.take(pa.array(some, pa.int64())), pa.array([d for d in data if d], pa.binary()), pa.array(counts[some]), pa.array(filled[some])], ["z", "x", "y", "layer", "data", "n", "filled"])
+
+            for k, (a, n, name) in enumerate(zip(starts.tolist(), counts.tolist(), names.to_pylist())):
+                data.append(mvt.layer(name, ((id_, kind, commands, known[text]) for id_, kind, commands, text in features[a : a + n])))
+                held += len(data[-1])
+                if len(data) >= 500 or held > 4 << 20:
+                    yield made(first)
+                    data, first, held = [], k + 1, 0
+            if data:
+                yield made(first)
+
+    layers = spread.mapInArrow(run, "z int, x int, y int, layer string, data binary, n bigint, filled boolean")
     tiles = layers.groupBy("z", "x", "y").agg(F.array_sort(F.collect_list(F.struct("layer", "data"))).alias("parts"), F.sum("n").alias("n_features"), F.bool_and("filled").alias("filled"))
     if skip_filled:
         tiles = tiles.filter("not filled")

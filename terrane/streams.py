@@ -85,6 +85,52 @@ def over_some_groups(df, active, keys: list[str], function: Callable[[pd.DataFra
     return placed.mapInPandas(run, schema)
 
 
+def whole_groups(batches: Iterable, keys: list[str]) -> Iterator[tuple]:
+    """(batch, row at which each group starts) of a stream of Arrow batches that is sorted by ``keys``; a batch holds whole groups, as many as came."""
+    import pyarrow as pa
+
+    def row(batch, k: int) -> tuple:
+        return tuple(batch.column(c)[k].as_py() for c in keys)
+
+    def bounds(batch) -> np.ndarray:
+        change = np.ones(batch.num_rows, dtype=bool)
+        change[1:] = False
+        for c in keys:
+            column = batch.column(c)
+            values = column.dictionary_encode().indices.fill_null(-1) if pa.types.is_string(column.type) else column
+            values = values.to_numpy(zero_copy_only=False)
+            change[1:] |= values[1:] != values[:-1]
+        return np.flatnonzero(change)
+
+    held: list = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held and row(held[0], 0) == row(batch, batch.num_rows - 1):
+            held.append(batch)  # still the same group
+            continue
+        joined = one_batch([*held, batch])
+        starts = bounds(joined)
+        if len(starts) > 1:
+            yield joined.slice(0, int(starts[-1])), starts[:-1]
+        held = [joined.slice(int(starts[-1]))]
+    if held:
+        joined = one_batch(held)
+        yield joined, bounds(joined)
+
+
+def one_batch(batches: list):
+    import pyarrow as pa
+
+    return batches[0] if len(batches) == 1 else pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+
+
+def lists(column) -> tuple[np.ndarray, np.ndarray]:
+    """The values of an Arrow list column and the offsets of its rows in them; a null row is empty."""
+    offsets = column.offsets.to_numpy()
+    return column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(np.where(column.is_valid().to_numpy(zero_copy_only=False), np.diff(offsets), 0))]).astype(np.int64)
+
+
 #: Bytes of source files that one task of a kernel should take.
 KERNEL_BYTES = 32 << 20
 
