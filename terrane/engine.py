@@ -291,15 +291,21 @@ class Engine:
         return union
 
     def rendered(self) -> DataFrame:
+        made, merge = self._unmerged()
+        return r.merged(made, merge, self._tell("merge")) if merge else made
+
+    def _unmerged(self) -> tuple[DataFrame, dict[str, dict]]:
+        """What is rendered before merging, and the layers to be merged."""
         derives = self.profile.derives
         made = r.label_limited(r.render(self.features(), self.profile.options, derives, self._tell("shape")), self.profile.options, derives)
         made = post_processed(made, self.profile, self._tell("hook"))
         p = self.profile
         merge = {k: v for k, v in p.merge.items() if k in chosen_layers(list(p.merge), p.only_layers, p.exclude_layers, p.depends_on)}
-        return r.merged(made, merge, self._tell("merge")) if merge else made
+        return made, merge
 
     def tiles(self, skip_filled: bool = False) -> DataFrame:
-        return r.encode_tiles(self.rendered(), skip_filled=skip_filled)
+        made, merge = self._unmerged()
+        return r.encode_tiles(made, skip_filled=skip_filled, merge=merge, failed=self._tell("merge"))
 
     def metadata(self, bounds=(-180.0, -85.0, 180.0, 85.0)) -> dict:
         from terrane.sinks.archives import archive_metadata

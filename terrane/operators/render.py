@@ -27,7 +27,7 @@ from terrane.kernels import geometry as g
 from terrane.kernels import mvt
 from terrane.kernels.lines import merge_lines
 from terrane.operators.tiling import explode_zooms, limit_per_cell, point_tiles
-from terrane.streams import kernel_partitions, lists, over_some_groups, whole_groups
+from terrane.streams import group_starts, kernel_partitions, lists, one_batch, over_some_groups, whole_groups
 
 FEATURE = "layer string, id bigint, kind string, shape array<array<array<double>>>, minzoom int, maxzoom int, sort_key int, attrs map<string,string>"
 #: Columns that a feature may have besides: the zoom from which each attribute is shown, least sizes and buffer in pixels in place of the build's,
@@ -426,57 +426,66 @@ def label_limited(rendered: DataFrame, options: RenderOptions, derives: bool = F
     return rendered.withColumn("_rank", rank).filter((F.col("_rank") <= options.grid_limit) | F.col("cell").isNull()).drop("_rank")
 
 
+def _merge_kinds(layers: dict[str, dict]) -> dict[str, str]:
+    return {name: ("polygon" if "min_area" in p or p.get("kind") == "polygon" else "line") for name, p in layers.items()}
+
+
+def _merges_together(layers: dict[str, dict]) -> bool:
+    """Whether the groups of all layers can be merged a batch at a time."""
+    return not any(set(p) - {"kind", "min_length", "tolerance", "min_area", "min_hole_area"} for p in layers.values())
+
+
+def _merged_alone(group: pd.DataFrame, layers: dict[str, dict], failed: Callable[[], None] | None) -> Iterator[pd.DataFrame]:
+    """One group, its features as they were if that fails."""
+    first = group.iloc[0]
+    p = dict(layers[first["layer"]])
+    kind = _merge_kinds(layers)[first["layer"]]
+    try:
+        if kind == "line":
+            p.pop("kind", None)
+            if callable(p.get("min_length")):
+                p["min_length"] = p["min_length"](dict(first["attrs"] or ()), int(first["z"]))
+            shapes = [merge_lines([part for xy, ends in zip(group["xy"], group["ends"]) for part in parts_of(xy, ends)], **p)]
+        else:
+            polygons = g.nest_all([parts_of(xy, ends) for xy, ends in zip(group["xy"], group["ends"])])
+            near = p.get("min_distance", 0.0)
+            whole = g.buffered(g.buffered(polygons, near / 2), -near / 2) if near else g.merged_union(polygons)
+            whole = [[r for k, r in enumerate(q) if k == 0 or abs(g.signed_area(r)) >= p.get("min_hole_area", 0.0)] for q in whole if g.area(q) >= p.get("min_area", 0.0)]
+            shapes = whole
+    except (ValueError, IndexError, ZeroDivisionError):  # the features stay as they were
+        if failed:
+            failed()
+        yield group[_NAMES]
+        return
+    id_ = int(group["id"].min())
+    id_ = id_ // 10 * 10 if len(group) > 1 else id_
+    rows = [(first["layer"], id_, kind, first["z"], first["x"], first["y"], *flat(s), int(group["sort_key"].min()), None, first["attrs"], False) for s in shapes if s]
+    if rows:
+        yield _frame(rows, _NAMES)
+
 def merged(rendered: DataFrame, layers: dict[str, dict], failed: Callable[[], None] | None = None) -> DataFrame:
     """Merge lines or polygons of equal attributes in each tile, for the layers named (with the kernel's parameters).
 
     The key holds the attributes, so one heavy tile is many groups; other rows pass by in the same stage. ``min_length`` of lines may be a
     function of (attributes, zoom).
     """
-    kinds = {name: ("polygon" if "min_area" in p or p.get("kind") == "polygon" else "line") for name, p in layers.items()}
+    kinds = _merge_kinds(layers)
     touched = F.lit(False)
     for name, kind in kinds.items():
         touched = touched | ((F.col("layer") == name) & (F.col("kind") == kind))
 
-    def run(group: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        """One group, its features as they were if that fails."""
-        first = group.iloc[0]
-        p = dict(layers[first["layer"]])
-        kind = kinds[first["layer"]]
-        try:
-            if kind == "line":
-                p.pop("kind", None)
-                if callable(p.get("min_length")):
-                    p["min_length"] = p["min_length"](dict(first["attrs"] or ()), int(first["z"]))
-                shapes = [merge_lines([part for xy, ends in zip(group["xy"], group["ends"]) for part in parts_of(xy, ends)], **p)]
-            else:
-                polygons = g.nest_all([parts_of(xy, ends) for xy, ends in zip(group["xy"], group["ends"])])
-                near = p.get("min_distance", 0.0)
-                whole = g.buffered(g.buffered(polygons, near / 2), -near / 2) if near else g.merged_union(polygons)
-                whole = [[r for k, r in enumerate(q) if k == 0 or abs(g.signed_area(r)) >= p.get("min_hole_area", 0.0)] for q in whole if g.area(q) >= p.get("min_area", 0.0)]
-                shapes = whole
-        except (ValueError, IndexError, ZeroDivisionError):  # the features stay as they were
-            if failed:
-                failed()
-            yield group[_NAMES]
-            return
-        id_ = int(group["id"].min())
-        id_ = id_ // 10 * 10 if len(group) > 1 else id_
-        rows = [(first["layer"], id_, kind, first["z"], first["x"], first["y"], *flat(s), int(group["sort_key"].min()), None, first["attrs"], False) for s in shapes if s]
-        if rows:
-            yield _frame(rows, _NAMES)
-
     def keyed(group: pd.DataFrame) -> Iterator[pd.DataFrame]:
         # the hash brings equal attributes together; what differs in spite of it is told apart here
         texts = group["attr_text"]
         if texts.nunique(dropna=False) == 1:
-            yield from run(group)
+            yield from _merged_alone(group, layers, failed)
             return
         for _, some in group.groupby("attr_text", dropna=False, sort=True):
-            yield from run(some)
+            yield from _merged_alone(some, layers, failed)
 
     text = F.to_json(F.map_from_entries(F.array_sort(F.map_entries("attrs"))))
     known = rendered.withColumn("attr_text", F.when(touched, text)).withColumn("attr_key", F.when(touched, F.xxhash64("attr_text")).otherwise(0))
-    if any(set(p) - {"kind", "min_length", "tolerance", "min_area", "min_hole_area"} for p in layers.values()):
+    if not _merges_together(layers):
         return over_some_groups(known, touched, ["z", "x", "y", "layer", "attr_key"], keyed, RENDERED)
 
     def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -491,19 +500,7 @@ def merged(rendered: DataFrame, layers: dict[str, dict], failed: Callable[[], No
                 break
         # equal hashes of different attributes are told apart by the text
         for batch, starts in whole_groups(chain(awake, held), ["z", "x", "y", "layer", "attr_text"]):
-            names = np.array(batch.column("layer").take(pa.array(starts)).to_pylist(), dtype=object)
-            for name in dict.fromkeys(names.tolist()):
-                chosen = np.flatnonzero(names == name)
-                rows, own = b.taken(np.append(starts, batch.num_rows), chosen)
-                some = batch if len(chosen) == len(starts) else batch.take(pa.array(rows))
-                try:
-                    done = (_merged_lines if kinds[name] == "line" else _merged_polygons)(some, own, layers[name])
-                except _ERRORS:
-                    for a, z in zip(own.tolist(), own[1:].tolist()):
-                        for frame in run(some.slice(a, z - a).to_pandas()):
-                            yield pa.RecordBatch.from_pandas(frame, _schema(batch), preserve_index=False)
-                    continue
-                yield from done
+            yield from _merged_groups(batch, starts, layers, failed)
 
     spread = F.when(F.col("_active"), 0).otherwise(1 + F.pmod(F.xxhash64("id"), F.lit(1024)))
     keys = ["z", "x", "y", "layer", "attr_key"]
@@ -511,8 +508,28 @@ def merged(rendered: DataFrame, layers: dict[str, dict], failed: Callable[[], No
     return placed.mapInArrow(together, RENDERED)
 
 
-def _schema(batch: pa.RecordBatch) -> pa.Schema:
-    return pa.schema([batch.schema.field(n).with_nullable(True) for n in _NAMES])
+def _merged_groups(batch: pa.RecordBatch, starts: np.ndarray, layers: dict[str, dict], failed: Callable[[], None] | None) -> Iterator[pa.RecordBatch]:
+    """The merged rows of groups that have one tile, layer and set of attributes each; attributes are told as ``attrs`` or ``attrs_text``."""
+    kinds, columns = _merge_kinds(layers), [c for c in (*_NAMES, "attrs_text") if c in batch.schema.names]
+    names = np.array(batch.column("layer").take(pa.array(starts)).to_pylist(), dtype=object)
+    for name in dict.fromkeys(names.tolist()):
+        chosen = np.flatnonzero(names == name)
+        rows, own = b.taken(np.append(starts, batch.num_rows), chosen)
+        some = batch if len(chosen) == len(starts) else batch.take(pa.array(rows))
+        try:
+            made = (_merged_lines if kinds[name] == "line" else _merged_polygons)(some, own, layers[name])
+        except _ERRORS:
+            schema = pa.schema([batch.schema.field(n).with_nullable(True) for n in columns])
+            for a, z in zip(own.tolist(), own[1:].tolist()):
+                group = some.slice(a, z - a).to_pandas()
+                if "attrs" not in columns:
+                    group["attrs"], group["cell"] = [list(json.loads(t).items()) if t else None for t in group["attrs_text"]], None
+                for frame in _merged_alone(group, layers, failed):
+                    if "attrs" not in columns:
+                        frame["attrs_text"] = group["attrs_text"].iloc[0]
+                    yield pa.RecordBatch.from_pandas(frame[columns], schema, preserve_index=False)
+            continue
+        yield from made
 
 
 def _merged_rows(batch: pa.RecordBatch, own: np.ndarray, group: np.ndarray, kind: str, xy: pa.ListArray, ends: pa.ListArray) -> Iterator[pa.RecordBatch]:
@@ -522,20 +539,47 @@ def _merged_rows(batch: pa.RecordBatch, own: np.ndarray, group: np.ndarray, kind
     ids = np.where(np.diff(own) > 1, ids // 10 * 10, ids)
     keys = np.minimum.reduceat(batch.column("sort_key").to_numpy(zero_copy_only=False), own[:-1])
     n = len(group)
-    made = {c: batch.column(c).take(first) for c in ("layer", "z", "x", "y", "attrs")}
+    given = batch.schema.names
+    made = {c: batch.column(c).take(first) for c in ("layer", "z", "x", "y", "attrs", "attrs_text") if c in given}
     made |= {"id": pa.array(ids[group].astype(np.int64)), "kind": pa.array([kind] * n, pa.string()), "xy": xy, "ends": ends, "sort_key": pa.array(keys[group].astype(np.int32)), "cell": pa.nulls(n, pa.int64()), "filled": pa.array(np.zeros(n, dtype=bool))}
-    whole = pa.RecordBatch.from_arrays([made[c] for c in _NAMES], names=_NAMES)
+    columns = [c for c in (*_NAMES, "attrs_text") if c in given]
+    whole = pa.RecordBatch.from_arrays([made[c] for c in columns], names=columns)
     for start in range(0, n, 10_000):
         yield whole.slice(start, 10_000)
 
 
+def _merged_layers(batch: pa.RecordBatch, starts: np.ndarray, layers: dict[str, dict], failed: Callable[[], None] | None) -> tuple[pa.RecordBatch, np.ndarray]:
+    """Whole layers of tiles, sorted as ``encode_tiles`` wants them, after merging, and where each starts."""
+    kinds, keys = _merge_kinds(layers), ["z", "x", "y", "layer"]
+    of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, batch.num_rows)))
+    wanted = np.array([kinds.get(n) for n in batch.column("layer").take(pa.array(starts)).to_pylist()], dtype=object)
+    touched = np.array(batch.column("kind").to_pylist(), dtype=object) == wanted[of]
+    if not touched.any():
+        return batch, starts
+    texts = batch.column("attrs_text").dictionary_encode()
+    numbers: dict[str | None, int] = {}
+    known = [numbers.setdefault(json.dumps(sorted(json.loads(t).items())), len(numbers)) for t in texts.dictionary.to_pylist()] + [-1]
+    code = np.array(known)[texts.indices.fill_null(len(known) - 1).to_numpy(zero_copy_only=False)]
+    rows = np.flatnonzero(touched)
+    rows = rows[np.lexsort((code[rows], of[rows]))]  # stable
+    change = np.ones(len(rows), dtype=bool)
+    change[1:] = (of[rows][1:] != of[rows][:-1]) | (code[rows][1:] != code[rows][:-1])
+    columns = [c for c in (*_NAMES, "attrs_text") if c in batch.schema.names]
+    rest = batch.take(pa.array(np.flatnonzero(~touched))).select(columns)
+    made = [rest, *_merged_groups(batch.take(pa.array(rows)), np.flatnonzero(change), layers, failed)]
+    table = pa.Table.from_batches([pa.RecordBatch.from_arrays(m.columns, names=columns) for m in made])
+    done = one_batch(table.sort_by([(k, "ascending") for k in (*keys, "sort_key", "id")]).combine_chunks().to_batches() or [rest])
+    return done, group_starts(done, keys)
+
+
 def _merged_lines(batch: pa.RecordBatch, own: np.ndarray, p: dict) -> Iterator[pa.RecordBatch]:
     groups = len(own) - 1
     points, offsets, row = _parts(batch)
     least = p.get("min_length", 0.0)
     if callable(least):
         first = pa.array(own[:-1])
-        told = zip(batch.column("attrs").take(first).to_pylist(), batch.column("z").take(first).to_pylist())
+        attrs = batch.column("attrs").take(first).to_pylist() if "attrs" in batch.schema.names else [json.loads(t) if t else None for t in batch.column("attrs_text").take(first).to_pylist()]
+        told = zip(attrs, batch.column("z").take(first).to_pylist())
         least = np.array([least(dict(attrs or ()), z) for attrs, z in told], dtype=float)
     of = np.repeat(np.arange(groups), np.diff(own))[row]
     points, offsets, of = b.merge_lines(points, offsets, of, np.broadcast_to(np.asarray(least, dtype=float), groups), p.get("tolerance", -1.0))
@@ -598,18 +642,24 @@ def _parts(batch: pa.RecordBatch, one: np.ndarray | None = None) -> tuple[np.nda
     return points, np.concatenate([[0], stops]).astype(np.int64), row
 
 
-def encode_tiles(rendered: DataFrame, compression: str = "gzip", skip_filled: bool = False) -> DataFrame:
-    """(z, x, y, data, n_features) of every tile with a feature.
+def encode_tiles(rendered: DataFrame, compression: str = "gzip", skip_filled: bool = False, merge: dict[str, dict] | None = None, failed: Callable[[], None] | None = None) -> DataFrame:
+    """(z, x, y, data, n_features) of every tile with a feature. Layers in ``merge`` are merged as by ``merged`` where they are encoded, which saves a shuffle of all rows.
 
     Layers are encoded on their own first, keyed by (tile, layer), and the encoded layers of a tile are then joined: a vector tile is the
     concatenation of its layers, so no task needs all features of a heavy tile.
     """
 
+    if merge and not _merges_together(merge):
+        rendered, merge = merged(rendered, merge, failed), None
     ordered = rendered.select("z", "x", "y", "layer", "sort_key", "id", "kind", "xy", "ends", F.to_json("attrs").alias("attrs_text"), "filled")
     spread = ordered.repartition(kernel_partitions(ordered), "z", "x", "y", "layer").sortWithinPartitions("z", "x", "y", "layer", "sort_key", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, starts in whole_groups(batches, ["z", "x", "y", "layer"]):
+            if merge:
+                batch, starts = _merged_layers(batch, starts, merge, failed)
+            if not batch.num_rows:
+                continue
             texts = batch.column("attrs_text").dictionary_encode()
             known = [json.loads(text) if text else {} for text in texts.dictionary.to_pylist()] + [{}]
             attrs = texts.indices.fill_null(len(known) - 1).to_pylist()

@@ -87,21 +87,10 @@ def over_some_groups(df, active, keys: list[str], function: Callable[[pd.DataFra
 
 def whole_groups(batches: Iterable, keys: list[str]) -> Iterator[tuple]:
     """(batch, row at which each group starts) of a stream of Arrow batches that is sorted by ``keys``; a batch holds whole groups, as many as came."""
-    import pyarrow as pa
 
     def row(batch, k: int) -> tuple:
         return tuple(batch.column(c)[k].as_py() for c in keys)
 
-    def bounds(batch) -> np.ndarray:
-        change = np.ones(batch.num_rows, dtype=bool)
-        change[1:] = False
-        for c in keys:
-            column = batch.column(c)
-            values = column.dictionary_encode().indices.fill_null(-1) if pa.types.is_string(column.type) else column
-            values = values.to_numpy(zero_copy_only=False)
-            change[1:] |= values[1:] != values[:-1]
-        return np.flatnonzero(change)
-
     held: list = []
     for batch in batches:
         if not batch.num_rows:
@@ -110,13 +99,27 @@ def whole_groups(batches: Iterable, keys: list[str]) -> Iterator[tuple]:
             held.append(batch)  # still the same group
             continue
         joined = one_batch([*held, batch])
-        starts = bounds(joined)
+        starts = group_starts(joined, keys)
         if len(starts) > 1:
             yield joined.slice(0, int(starts[-1])), starts[:-1]
         held = [joined.slice(int(starts[-1]))]
     if held:
         joined = one_batch(held)
-        yield joined, bounds(joined)
+        yield joined, group_starts(joined, keys)
+
+
+def group_starts(batch, keys: list[str]) -> np.ndarray:
+    """The row at which each run of equal keys of an Arrow batch starts."""
+    import pyarrow as pa
+
+    change = np.zeros(batch.num_rows, dtype=bool)
+    change[:1] = True
+    for c in keys:
+        column = batch.column(c)
+        values = column.dictionary_encode().indices.fill_null(-1) if pa.types.is_string(column.type) else column
+        values = values.to_numpy(zero_copy_only=False)
+        change[1:] |= values[1:] != values[:-1]
+    return np.flatnonzero(change)
 
 
 def one_batch(batches: list):
